@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, quality
+from tessera.llm import chat, language, licenses, mixing, packing, quality
 from tessera.llm.common import read
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_compression_bands(spark, sf_dir):
     found = quality.judge(read(spark, sf_dir, "documents"))
     return found.select(
@@ -13,14 +19,36 @@ def op1_compression_bands(spark, sf_dir):
     )
 
 
+def op3_diagonal_licenses(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_poisson_mix(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).drop("shuffle_key")
 
 
+def op5_bayes_language(spark, sf_dir):
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
+def op6_tournament_packing(spark, sf_dir):
+    return packing.digest(packing.pack(read(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op10_columnar_chat(spark, sf_dir):
+    return chat.digests(chat.format_chats(chat.with_probe(read(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_compression_bands": op1_compression_bands,
+    "op3_diagonal_licenses": op3_diagonal_licenses,
     "op4_poisson_mix": op4_poisson_mix,
+    "op5_bayes_language": op5_bayes_language,
+    "op6_tournament_packing": op6_tournament_packing,
+    "op10_columnar_chat": op10_columnar_chat,
 }
 ORACLE_SQL = {
+    "op3_diagonal_licenses": licenses.oracle(),
     "op4_poisson_mix": mixing.oracle(),
+    "op10_columnar_chat": chat.ORACLE,
 }
