@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, language, licenses, mixing, packing, quality
+from tessera.llm import chat, language, licenses, mixing, packing, quality, shingle_join
 from tessera.llm.common import read
 
 
@@ -35,6 +35,10 @@ def op6_tournament_packing(spark, sf_dir):
     return packing.digest(packing.pack(read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op9_divide_skip_join(spark, sf_dir):
+    return shingle_join.join(read(spark, sf_dir, "documents"))
+
+
 def op10_columnar_chat(spark, sf_dir):
     return chat.digests(chat.format_chats(chat.with_probe(read(spark, sf_dir, "conversations"))))
 
@@ -45,10 +49,12 @@ QUERIES = {
     "op4_poisson_mix": op4_poisson_mix,
     "op5_bayes_language": op5_bayes_language,
     "op6_tournament_packing": op6_tournament_packing,
+    "op9_divide_skip_join": op9_divide_skip_join,
     "op10_columnar_chat": op10_columnar_chat,
 }
 ORACLE_SQL = {
     "op3_diagonal_licenses": licenses.oracle(),
     "op4_poisson_mix": mixing.oracle(),
+    "op9_divide_skip_join": shingle_join.oracle(),
     "op10_columnar_chat": chat.ORACLE,
 }
