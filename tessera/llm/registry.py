@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, language, licenses, mixing, packing, quality, shingle_join
+from tessera.llm import chat, language, licenses, mixing, packing, quality, secrets, shingle_join
 from tessera.llm.common import read
 
 
@@ -35,6 +35,10 @@ def op6_tournament_packing(spark, sf_dir):
     return packing.digest(packing.pack(read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op7_crf_secrets(spark, sf_dir):
+    return secrets.digest(secrets.find(read(spark, sf_dir, "documents")))
+
+
 def op9_divide_skip_join(spark, sf_dir):
     return shingle_join.join(read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op4_poisson_mix": op4_poisson_mix,
     "op5_bayes_language": op5_bayes_language,
     "op6_tournament_packing": op6_tournament_packing,
+    "op7_crf_secrets": op7_crf_secrets,
     "op9_divide_skip_join": op9_divide_skip_join,
     "op10_columnar_chat": op10_columnar_chat,
 }
