@@ -512,7 +512,5 @@ def _joined(spans: Column) -> Column:
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts, a checksum of the fixed patterns' spans, and all spans as text."""
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
-    counts = [
-        F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS
-    ]
+    counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{kind}')) AS LONG) AS n_{kind}") for kind in KINDS]
     return found.select(key, *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
