@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, language, licenses, mixing, packing, quality, secrets, shingle_join
+from pyspark.sql import functions as F
+
+from tessera.llm import chat, language, licenses, mixing, mtree, packing, quality, secrets, shingle_join
 from tessera.llm.common import read
 
 
@@ -19,6 +21,10 @@ def op1_compression_bands(spark, sf_dir):
     )
 
 
+def op2_mtree_topk(spark, sf_dir):
+    return mtree.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_diagonal_licenses(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -49,6 +55,7 @@ def op10_columnar_chat(spark, sf_dir):
 
 QUERIES = {
     "op1_compression_bands": op1_compression_bands,
+    "op2_mtree_topk": op2_mtree_topk,
     "op3_diagonal_licenses": op3_diagonal_licenses,
     "op4_poisson_mix": op4_poisson_mix,
     "op5_bayes_language": op5_bayes_language,
@@ -58,6 +65,7 @@ QUERIES = {
     "op10_columnar_chat": op10_columnar_chat,
 }
 ORACLE_SQL = {
+    "op2_mtree_topk": mtree.ORACLE,
     "op3_diagonal_licenses": licenses.oracle(),
     "op4_poisson_mix": mixing.oracle(),
     "op9_divide_skip_join": shingle_join.oracle(),
