@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, language, licenses, mixing, mtree, packing, quality, secrets, shingle_join
+from tessera.llm import chat, language, licenses, mixing, mtree, packing, pitman_yor, quality, secrets, shingle_join
 from tessera.llm.common import read
 
 
@@ -45,6 +45,10 @@ def op7_crf_secrets(spark, sf_dir):
     return secrets.digest(secrets.find(read(spark, sf_dir, "documents")))
 
 
+def op8_pitman_yor_scores(spark, sf_dir):
+    return pitman_yor.score(read(spark, sf_dir, "documents"))
+
+
 def op9_divide_skip_join(spark, sf_dir):
     return shingle_join.join(read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op5_bayes_language": op5_bayes_language,
     "op6_tournament_packing": op6_tournament_packing,
     "op7_crf_secrets": op7_crf_secrets,
+    "op8_pitman_yor_scores": op8_pitman_yor_scores,
     "op9_divide_skip_join": op9_divide_skip_join,
     "op10_columnar_chat": op10_columnar_chat,
 }
