@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What is stripped from names, in this order.
@@ -38,9 +38,7 @@ def normalise_name(name: Column) -> Column:
         value = F.regexp_replace(value, rf"^{_quoted(title)}(?=[ .])[ .]*", "")
     for suffix in SUFFIXES:
         value = F.regexp_replace(value, rf"[, ]+{_quoted(suffix)}$", "")
-    parts = F.split(value, ",")
-    turned = F.concat_ws(" ", F.trim(parts[1]), F.trim(parts[0]))
-    value = F.when(F.size(parts) == 2, turned).otherwise(value)
+    value = F.regexp_replace(value, r"^([^,]*),([^,]*)$", "$2 $1")
     return F.trim(F.regexp_replace(value, r"\s+", " "))
 
 
@@ -92,41 +90,48 @@ def industry(name: Column) -> Column:
     return found
 
 
-def blocking_key(
-    entity_type: Column,
-    full_name: Column,
-    dob: Column,
-    address: Column,
-    nationality: Column,
-    country: Column,
-    company_number: Column,
-) -> Column:
-    """The ladder of keys; each rung needs its values, the last is UNKNOWN."""
-    name = normalise_name(full_name)
-    first, last = first_initial(name), last_word(name)
-    first = F.when(first != "", first)
-    born, number = blank_to_null(dob), blank_to_null(company_number)
-    city, ctry = place(address), jurisdiction(country, nationality, address)
-    hint = F.coalesce(industry(full_name), F.upper(F.substring(last, 1, 3)))
-    key = lambda *parts: _keyed(*parts)
-    person = F.coalesce(
-        key("P", F.substring(last, 1, 1), born), key("P", first, last, ctry), key("P", last, ctry), key("P", ctry)
+def with_blocking_key(records: DataFrame) -> DataFrame:
+    """The records with name_key, the normalised name, and block_key: the first rung of a ladder whose values are there,
+    the last is UNKNOWN. Steps are columns of their own, so each is computed once."""
+    c = F.col
+    made = records.withColumn("name_key", normalise_name(c("full_name")))
+    made = made.withColumns(
+        {
+            "_first": F.nullif(first_initial(c("name_key")), F.lit("")),
+            "_last": last_word(c("name_key")),
+            "_born": blank_to_null(c("dob")),
+            "_number": blank_to_null(c("company_number")),
+            "_city": place(c("address")),
+            "_ctry": jurisdiction(c("country"), c("nationality"), c("address")),
+            "_sound": F.soundex("name_key"),
+            "_industry": industry(c("full_name")),
+        }
     )
-    company = F.coalesce(
-        key("CO", "NUM", number_prefix(number)),
-        key("CO", normalise_place(city), normalise_place(ctry)),
-        key("CO", ctry, hint),
-        key("CO", ctry),
+    made = made.withColumns(
+        {
+            "_prefix": number_prefix(c("_number")),
+            "_city": normalise_place(c("_city")),
+            "_land": normalise_place(c("_ctry")),
+            "_hint": F.coalesce("_industry", F.upper(F.substring("_last", 1, 3))),
+            "_initials": F.upper(F.concat(F.substring("name_key", 1, 1), F.substring("_last", 1, 1))),
+        }
     )
-    sound = F.soundex(name)
-    initials = F.upper(F.concat(F.substring(name, 1, 1), F.substring(last, 1, 1)))
-    is_company = F.lower(F.coalesce(entity_type, F.lit(""))) == "company"
-    fallback = lambda p: F.coalesce(
-        F.when(sound.rlike("^[A-Z][0-9]{3}$"), key(p, "SOUNDEX", sound)),
-        F.when(name != "", key(p, "NAME", initials)),
+    person = [
+        _keyed("P", F.substring("_last", 1, 1), c("_born")), _keyed("P", c("_first"), c("_last"), c("_ctry")),
+        _keyed("P", c("_last"), c("_ctry")), _keyed("P", c("_ctry")),
+    ]
+    company = [
+        _keyed("CO", "NUM", c("_prefix")), _keyed("CO", c("_city"), c("_land")), _keyed("CO", c("_ctry"), c("_hint")),
+        _keyed("CO", c("_ctry")),
+    ]
+    last = lambda p: [
+        F.when(c("_sound").rlike("^[A-Z][0-9]{3}$"), _keyed(p, "SOUNDEX", c("_sound"))),
+        F.when(c("name_key") != "", _keyed(p, "NAME", c("_initials"))),
         F.lit(f"{p}:UNKNOWN"),
-    )
-    return F.when(is_company, F.coalesce(company, fallback("CO"))).otherwise(F.coalesce(person, fallback("P")))
+    ]
+    is_company = F.lower(F.coalesce("entity_type", F.lit(""))) == "company"
+    key = F.when(is_company, F.coalesce(*company, *last("CO"))).otherwise(F.coalesce(*person, *last("P")))
+    return made.withColumn("block_key", key).select(*records.columns, "name_key", "block_key")
 
 
 def _keyed(*parts: str | Column) -> Column:
@@ -144,13 +149,12 @@ def loose_date(value: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(head, F.lit(f)).cast("date") for f in DATE_FORMATS])
 
 
-def compare_dates(one: Column, two: Column, text_score: Column) -> Column:
-    """1 for one day, .7 for one month, .3 for one year; ``text_score`` where a date can't be read."""
-    a, b = loose_date(one), loose_date(two)
+def compare_dates(a: Column, b: Column, text_score: Column) -> Column:
+    """Of dates: 1 for one day, .7 for one month, .3 for one year; ``text_score`` where a date is NULL."""
     return (
         F.when(a.isNull() | b.isNull(), text_score)
         .when(a == b, 1.0)
-        .when((F.year(a) == F.year(b)) & (F.month(a) == F.month(b)), 0.7)
+        .when(F.trunc(a, "month") == F.trunc(b, "month"), 0.7)
         .when(F.year(a) == F.year(b), 0.3)
         .otherwise(0.0)
     )

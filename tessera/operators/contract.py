@@ -158,7 +158,7 @@ def statistics(validated: DataFrame) -> DataFrame:
 
 def explode_boards(records: DataFrame, column: str = "director_of_entity_ids", suffix: bool = True) -> DataFrame:
     """One row for each company of a ``;`` list; later ones get ``_01``, ``_02`` … after the record id."""
-    listed = F.filter(F.transform(F.split(column, ";"), F.trim), lambda c: c != "")
+    listed = F.filter(F.transform(F.split(column, ";"), lambda c: F.trim(c)), lambda c: c != "")
     others = [c for c in records.columns if c not in (column, "record_id")]
     spread = records.select("record_id", *others, F.posexplode_outer(listed).alias("_at", "_board"))
     numbered = F.format_string("%s_%02d", F.col("record_id"), F.col("_at"))

@@ -72,7 +72,7 @@ def build(records: DataFrame, cluster: str = "cluster_id", rules: Survivorship =
     majority = types.withColumn("place", F.row_number().over(best)).filter("place = 1").select(cluster, "entity_type")
     aggregates = [rules.resolve(c, ordinal) for c in fields]
     if "director_of_entity_ids" in records.columns:
-        split = F.filter(F.transform(F.split("director_of_entity_ids", ";"), F.trim), lambda c: c != "")
+        split = F.filter(F.transform(F.split("director_of_entity_ids", ";"), lambda c: F.trim(c)), lambda c: c != "")
         joined = F.array_sort(F.array_distinct(F.flatten(F.collect_list(split))))
         aggregates.append(F.array_join(joined, ";").alias("director_of_entity_ids"))
     merged = records.groupBy(cluster).agg(
