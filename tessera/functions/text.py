@@ -34,10 +34,10 @@ def blank_to_null(value: Column) -> Column:
 def normalise_name(name: Column) -> Column:
     """Lower case without titles and suffixes, ``last, first`` turned, single blanks."""
     value = F.trim(F.lower(F.coalesce(name, F.lit(""))))
-    for title in TITLES:
-        value = F.regexp_replace(value, rf"^{_quoted(title)}(?=[ .])[ .]*", "")
-    for suffix in SUFFIXES:
-        value = F.regexp_replace(value, rf"[, ]+{_quoted(suffix)}$", "")
+    # Each title is stripped once, in order, so one pattern of optional parts does it; suffixes go from the end.
+    titles = "".join(rf"(?:{_quoted(t)}(?=[ .])[ .]*)?" for t in TITLES)
+    suffixes = "".join(rf"(?:[, ]+{_quoted(s)})?" for s in reversed(SUFFIXES))
+    value = F.regexp_replace(F.regexp_replace(value, f"^{titles}", ""), f"{suffixes}$", "")
     value = F.regexp_replace(value, r"^([^,]*),([^,]*)$", "$2 $1")
     return F.trim(F.regexp_replace(value, r"\s+", " "))
 
