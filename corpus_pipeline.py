@@ -26,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = Scratch(spark, "near").table(shingle_join.join(docs), "groups")
     gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    kept = docs.join(gone.hint("merge"), docs["doc_id"] == gone["gone_id"], "left_anti")
     many = groups.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("many"))
     if many.isEmpty():
         return kept

@@ -10,8 +10,8 @@ sets' intersection is at least ``Plan.percent`` hundredths of their union.
    one; classes with a hash in common meet at the least of them, their leader. No link is lost, and a passage that many
    documents share hardly ever fills a segment alone.
 3. Search. The classes of a leader, in chunks of bounded size that all hold the leader, are indexed: an inverted list
-   for each element. A set of n elements looks for those that share T = ceil(n p / 100): its longest L lists are set
-   aside, the others are merged with a heap, what occurs T - L times in them is probed in the long lists by binary
+   for each element. A set of n elements looks for those, no smaller, that share T = ceil(2 n p / (100 + p)): its
+   longest L lists are set aside, the others are merged with a heap, what occurs T - L times in them is probed in the long lists by binary
    search, and the required overlap is tested exactly. Lists leave out what is in the searcher's component already,
    so copies of one text cost no comparison of all pairs.
 4. Groups of several chunks go on: what is not yet linked to the leader visits the other chunks, again in chunks.
@@ -163,12 +163,12 @@ class Index:
         self.entries = lists * self.span + self.owners  # ascending: list by list, owner by owner
 
     def search(self, wanted: np.ndarray, forest: Forest, me: int, apart: np.ndarray | None = None) -> None:
-        """Unite ``me``, whose set is ``wanted``, with each component of the index that it links to.
+        """Unite ``me``, whose set is ``wanted``, with each component that it links to by a set no smaller than its own.
 
-        apart: True for the positions that may be partners.
+        apart: True for the positions that may be partners. Such partners share at least 2 n p / (100 + p) elements.
         """
         n, percent = len(wanted), self.plan.percent
-        needed = -(-n * percent // 100)
+        needed = -(-2 * n * percent // (100 + percent))
         lists = self._present(wanted)
         if len(lists) < needed:
             return
@@ -177,7 +177,7 @@ class Index:
         longest = int(lengths.max())
         aside = min(needed - 1, int(needed / (0.0085 * math.log2(longest + 1) + 1)))
         short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-        merged = heapq.merge(*filter(len, (self._others(l, forest, me, apart) for l in short)))
+        merged = heapq.merge(*self._others(short, forest, me, apart))
         candidate, count = -1, 0
         for owner in [*merged, -1]:
             if owner == candidate:
@@ -187,23 +187,33 @@ class Index:
                 self._probe(candidate, count, long, n, forest, me)
             candidate, count = owner, 1
 
+    def fits(self, owners: np.ndarray, n: int) -> np.ndarray:
+        sizes = self.sizes[owners]
+        return (sizes >= n) & (self.plan.percent * sizes <= 100 * n)
+
     def _present(self, wanted: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.elements, wanted), len(self.elements) - 1)
         return at[self.elements[at] == wanted]
 
-    def _others(self, number: int, forest: Forest, me: int, apart: np.ndarray | None) -> list[int]:
-        owners = self.owners[self.starts[number] : self.ends[number]]
-        if len(owners) == 1 and owners[0] == me:
+    def _others(self, lists: np.ndarray, forest: Forest, me: int, apart: np.ndarray | None) -> list[list[int]]:
+        """The lists without what is in the component of ``me`` (or not ``apart``), empty ones left out."""
+        starts, lengths = self.starts[lists], self.ends[lists] - self.starts[lists]
+        starts, lengths = starts[lengths > 1], lengths[lengths > 1]
+        if not len(starts):
             return []
-        free = forest.root[owners] != forest.root[me]
+        ends = np.cumsum(lengths)
+        owners = self.owners[np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)]
+        free = (forest.root[owners] != forest.root[me]) & self.fits(owners, self.sizes[me])
         if apart is not None:
             free &= apart[owners]
-        return owners[free].tolist()
+        if not free.any():
+            return []
+        bounds = np.searchsorted(np.flatnonzero(free), ends).tolist()
+        left = owners[free].tolist()
+        return [left[a:b] for a, b in zip([0, *bounds], bounds) if a < b]
 
     def _probe(self, candidate: int, count: int, long: np.ndarray, n: int, forest: Forest, me: int) -> None:
         other, percent = int(self.sizes[candidate]), self.plan.percent
-        if 100 * min(n, other) < percent * max(n, other):
-            return
         keys = long * self.span + candidate
         found = np.searchsorted(self.entries, keys)
         shared = count + int((self.entries[np.minimum(found, len(self.entries) - 1)] == keys).sum())
@@ -212,14 +222,11 @@ class Index:
 
 
 def link_chunk(sets: list[np.ndarray], plan: Plan, visitors: np.ndarray | None = None) -> np.ndarray:
-    """Root of each set after all searches; with ``visitors``, only they search, and only among the others."""
+    """Root of each set after all searches; with ``visitors``, they and the others search only among each other."""
     forest, index = Forest(len(sets)), Index(sets, plan)
-    if visitors is None:
-        for me, wanted in enumerate(sets):
-            index.search(wanted, forest, me)
-    else:
-        for me in np.flatnonzero(visitors):
-            index.search(sets[me], forest, int(me), ~visitors)
+    for me, wanted in enumerate(sets):
+        apart = None if visitors is None else visitors != visitors[me]
+        index.search(wanted, forest, me, apart)
     return forest.root
 
 
@@ -328,7 +335,8 @@ def links(docs: DataFrame, classes: DataFrame, plan: Plan, scratch: Scratch) ->
     texts = docs.select("key", "text")
 
     def searched(at: DataFrame, name: str) -> DataFrame:
-        rows = texts.join(at, "key").select(*order, "cls", "visitor", "text")
+        # Seats grow with the rows: joined by sorting at every size, never broadcast.
+        rows = texts.join(at.hint("merge"), "key").select(*order, "cls", "visitor", "text")
         return scratch.table(_search(rows.repartition(*order).sortWithinPartitions(*order), plan), name)
 
     first = seated.select("key", "cls", "leader", "chunk", F.lit(-1).alias("visit"), F.lit(False).alias("visitor"))
