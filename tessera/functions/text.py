@@ -91,7 +91,7 @@ def industry(name: Column) -> Column:
 
 
 def with_blocking_key(records: DataFrame) -> DataFrame:
-    """The records with name_key, the normalised name, and block_key: the first rung of a ladder whose values are there,
+    """The records with name_key (normalised), birth_date (read from dob) and block_key: the first rung of a ladder whose values are there,
     the last is UNKNOWN. Steps are columns of their own, so each is computed once."""
     c = F.col
     made = records.withColumn("name_key", normalise_name(c("full_name")))
@@ -131,7 +131,9 @@ def with_blocking_key(records: DataFrame) -> DataFrame:
     ]
     is_company = F.lower(F.coalesce("entity_type", F.lit(""))) == "company"
     key = F.when(is_company, F.coalesce(*company, *last("CO"))).otherwise(F.coalesce(*person, *last("P")))
-    return made.withColumn("block_key", key).select(*records.columns, "name_key", "block_key")
+    return made.withColumn("block_key", key).withColumn("birth_date", loose_date(c("dob"))).select(
+        *records.columns, "name_key", "birth_date", "block_key"
+    )
 
 
 def _keyed(*parts: str | Column) -> Column:

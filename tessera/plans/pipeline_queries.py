@@ -186,6 +186,40 @@ def m1(d):
     return m.exact_parts(m.pairs(people(d))).select(F.col("l_k").alias("a"), F.col("r_k").alias("b"), "c_company_number", "c_country", "c_dob")
 
 
+@query("t13_places", PEOPLE_SQL + """SELECT k, CASE WHEN address IS NOT NULL THEN 'ST.' END AS place, upper(country) AS jurisdiction,
+  CASE WHEN address IS NOT NULL THEN 'SAINT' END AS normal FROM people""", domain=False)
+def t13(d):
+    p = people(d)
+    city = text.place(F.col("address"))
+    land = text.jurisdiction(F.col("country"), F.col("nationality"), F.col("address"))
+    return p.select("k", city.alias("place"), land.alias("jurisdiction"), text.normalise_place(city).alias("normal"))
+
+
+@query("t15_number_prefixes", PEOPLE_SQL + "SELECT k, company_number[:3] AS prefix FROM people WHERE company_number IS NOT NULL", domain=False)
+def t15(d):
+    return people(d).filter("company_number IS NOT NULL").select("k", text.number_prefix(F.col("company_number")).alias("prefix"))
+
+
+@query("t16_industry_hints", """SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), 'tech|software|digital') THEN 'TECH'
+  WHEN regexp_matches(lower(p_name), 'bank|financ') THEN 'BANK' WHEN regexp_matches(lower(p_name), 'trad|import|export') THEN 'TRADE'
+  WHEN regexp_matches(lower(p_name), 'propert|real estate|holdings') THEN 'PROP' END AS hint FROM (SELECT p_partkey,
+  p_name || CASE p_partkey % 5 WHEN 0 THEN ' Software' WHEN 1 THEN ' Banking' WHEN 2 THEN ' Export' WHEN 3 THEN ' Holdings' ELSE '' END AS p_name FROM part)""",
+       domain=False)
+def t16(d):
+    k = F.col("p_partkey")
+    tail = F.when(k % 5 == 0, " Software").when(k % 5 == 1, " Banking").when(k % 5 == 2, " Export").when(k % 5 == 3, " Holdings").otherwise("")
+    return d.table("part").select("p_partkey", text.industry(F.concat("p_name", tail)).alias("hint"))
+
+
+@query("j3_candidates", PEOPLE_SQL + """SELECT DISTINCT a.k AS fresh, b.k AS golden FROM blocks a JOIN blocks b ON a.entity_type = b.entity_type
+  AND a.k % 5 = 3 AND b.k % 5 < 3 AND a.k < 300 AND (a.block_key = b.block_key OR (upper(a.full_name[1]) = upper(b.full_name[1])
+  AND NOT EXISTS (SELECT 1 FROM blocks c WHERE c.k % 5 < 3 AND c.block_key = a.block_key)))""", domain=False)
+def j3(d):
+    m, p = Matcher(), people(d)
+    known = m.with_block(p.filter("k % 5 < 3")).withColumn("golden_id", F.concat(F.lit("G"), "record_id"))
+    return m.candidates(p.filter("k % 5 = 3 AND k < 300"), known).select(F.col("l_k").alias("fresh"), F.col("r_k").alias("golden"))
+
+
 @query("m8_matches", None)
 def m8(d):
     m = Matcher()

@@ -362,3 +362,50 @@ def o12(d):
 def gt(d):
     hit = F.regexp_extract("text", "(?i)(license|copyright|rights reserved)", 1)
     return d.table("documents").filter(F.col("text").rlike("(?i)license|copyright|rights reserved")).select("doc_id", "source", hit.alias("hit"))
+
+
+@query("r2_stakes_with_dates", """SELECT src, dst, ownership_percentage, (SELECT strftime(max(o_orderdate), '%Y-%m-%d') FROM orders WHERE 'P' || o_custkey = src)
+  AS last_order FROM owns WHERE ownership_percentage > 25 AND starts_with(src, 'P')""")
+def r2(d):
+    last = d.table("orders").groupBy(F.concat(F.lit("P"), "o_custkey").alias("src")).agg(F.substring(F.max("o_orderdate").cast("string"), 1, 10).alias("last_order"))
+    big = d.owns.filter("ownership_percentage > 25 AND src LIKE 'P%'")
+    return big.join(last, "src", "left").select("src", "dst", "ownership_percentage", "last_order")
+
+
+@query("r6_as_of_batch", """SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events
+  WHERE CASE WHEN event_id < 4000 THEN 1 WHEN event_id < 8000 THEN 2 ELSE 3 END <= 2 GROUP BY user_id""", domain=False)
+def r6(d):
+    version = F.when(F.col("event_id") < 4000, 1).when(F.col("event_id") < 8000, 2).otherwise(3)
+    seen = d.table("events").filter(version <= 2)
+    return seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event"))
+
+
+@query("o3_class_flags", """SELECT id, entity_type = 'person' AND is_pep AS pep, is_nominee_director AS nominee,
+  entity_type = 'company' AND is_offshore AS offshore, is_shell AS shell,
+  is_pep OR is_nominee_director OR is_shell OR risk_score >= 50 AS high_risk FROM risk""")
+def o3(d):
+    return scored(d).select(
+        "id", ((F.col("entity_type") == "person") & F.col("is_pep")).alias("pep"), F.col("is_nominee_director").alias("nominee"),
+        ((F.col("entity_type") == "company") & F.col("is_offshore")).alias("offshore"), F.col("is_shell").alias("shell"),
+        F.col("is_high_risk_class").alias("high_risk"),
+    )
+
+
+@query("o10_appointments", """SELECT DISTINCT src AS person_id, dst AS company_id, 'director' AS role FROM boards""")
+def o10(d):
+    return d.boards.select(F.col("src").alias("person_id"), F.col("dst").alias("company_id"), F.lit("director").alias("role"))
+
+
+@query("a10_relation_counts", """SELECT src AS id, count(*) FILTER (rel = 'directorOf') AS director_count,
+  count(*) FILTER (rel = 'owns') AS owned_count FROM edges GROUP BY src""")
+def a10(d):
+    return d.edges.groupBy(F.col("src").alias("id")).agg(
+        F.count_if(F.col("rel") == "directorOf").alias("director_count"), F.count_if(F.col("rel") == "owns").alias("owned_count")
+    )
+
+
+@query("c7_ring_shares", """SELECT o.src, o.dst, o.ownership_percentage FROM owns o JOIN cyclic a ON a.id = o.src JOIN cyclic b ON b.id = o.dst""")
+def c7(d):
+    on = graph.on_cycles(d.owns, d.closed)
+    inner = d.owns.join(on.withColumnRenamed("id", "src"), "src", "left_semi").join(on.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return inner.select("src", "dst", "ownership_percentage")
