@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 class Plan:
     k: int = 5
     scale: int = 256
-    page: int = 64  #: entries of a node
+    page: int = 128  #: entries of a node
     tree: int = 16384  #: vectors of a tree
-    block: int = 256  #: queries of a block
+    block: int = 512  #: queries of a block
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,7 @@ class Node:
     to_parent: np.ndarray  #: distances of the pivots to this node's own
     radii: np.ndarray
     children: tuple[Node, ...]  #: none in a leaf
+    block: np.ndarray  #: the members' vectors, with their further component
 
 
 class MTree:
@@ -57,23 +58,29 @@ class MTree:
         self.slack = 1e-6 * (1.0 + np.sqrt(self.bound))
         self.root = self._grow(np.arange(len(ids)), 0) if len(ids) else None
 
-    def _to(self, rows: np.ndarray, pivot: int) -> np.ndarray:
-        return np.sqrt(((self.lifted[rows] - self.lifted[pivot]) ** 2).sum(axis=1))
+    def _to(self, rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+        """Distances, pivots × rows. Norms of lifted vectors all are the bound, and products of integers are exact."""
+        inner = self.lifted[pivots] @ self.lifted[rows].T
+        return np.sqrt(np.maximum(0.0, 2 * (self.bound - inner)))
+
+    def _node(self, rows: np.ndarray, pivot: int, radii: np.ndarray, children: tuple[Node, ...]) -> Node:
+        return Node(rows, self._to(rows, np.array([pivot]))[0], radii, children, self.lifted[rows])
 
     def _grow(self, rows: np.ndarray, pivot: int) -> Node:
         """The node over ``rows`` below ``pivot``."""
         if len(rows) <= self.page:
-            return Node(rows, self._to(rows, pivot), np.zeros(len(rows)), ())
+            return self._node(rows, pivot, np.zeros(len(rows)), ())
         seeds = self._seeds(rows)
-        nearest = np.stack([self._to(rows, s) for s in seeds]).argmin(axis=0)
+        away = self._to(rows, seeds)
+        nearest = away.argmin(axis=0)
         groups = [rows[nearest == n] for n in range(len(seeds))]
         if max(map(len, groups)) > 0.9 * len(rows):  # (nearly) one point: pages in order
             groups = np.array_split(rows, self.page)
             seeds = np.array([g[0] for g in groups])
         kept = [(s, g) for s, g in zip(seeds, groups) if len(g)]
         pivots = np.array([s for s, _ in kept])
-        radii = np.array([self._to(g, s).max() for s, g in kept])
-        return Node(pivots, self._to(pivots, pivot), radii, tuple(self._grow(g, s) for s, g in kept))
+        radii = np.array([self._to(g, np.array([s]))[0].max() for s, g in kept])
+        return self._node(pivots, pivot, radii, tuple(self._grow(g, s) for s, g in kept))
 
     def _seeds(self, rows: np.ndarray) -> np.ndarray:
         """Pivots spread over the rows: as many as the pages below need, no more than a page holds."""
@@ -87,37 +94,35 @@ class MTree:
         lifted = np.append(query, 0.0)
         worst = np.inf
 
-        def distances(rows: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(0.0, square - 2.0 * (self.lifted[rows] @ lifted)))
-
         queue: list[tuple[float, int, Node, float]] = []
         if self.root:
-            queue.append((0.0, 0, self.root, float(distances(np.array([0]))[0])))
+            to_root = np.sqrt(max(0.0, square - 2.0 * float(self.lifted[0] @ lifted)))
+            queue.append((0.0, 0, self.root, to_root))
         pushed = 0
         while queue:
             least, _, node, to_pivot = heapq.heappop(queue)
             if least > worst:
                 break
             near = np.abs(to_pivot - node.to_parent) - node.radii - self.slack <= worst
-            rows = node.members[near]
-            if not len(rows):
-                continue
+            if near.all():
+                at, products = np.arange(len(near)), node.block @ lifted
+            else:
+                at = np.flatnonzero(near)
+                products = node.block[at] @ lifted
             if node.children:
-                away = distances(rows)
-                below = np.maximum(0.0, away - node.radii[near] - self.slack)
-                for n, d, low in zip(np.flatnonzero(near), away, below):
-                    if low <= worst:
-                        pushed += 1
-                        heapq.heappush(queue, (float(low), pushed, node.children[n], float(d)))
+                away = np.sqrt(np.maximum(0.0, square - 2.0 * products))
+                below = np.maximum(0.0, away - node.radii[at] - self.slack)
+                for n, d, low in zip(at[below <= worst], away[below <= worst], below[below <= worst]):
+                    pushed += 1
+                    heapq.heappush(queue, (float(low), pushed, node.children[n], float(d)))
                 continue
-            scores = self.vectors[rows] @ query
             if len(found) == k:
-                good = scores >= found[0][0]
-                rows, scores = rows[good], scores[good]
-            for score, name in zip(scores, self.ids[rows]):
+                good = products >= found[0][0]
+                at, products = at[good], products[good]
+            for score, name in zip(products.tolist(), self.ids[node.members[at]].tolist()):
                 if name == query_id:
                     continue
-                entry = (int(score), -int(name))
+                entry = (int(score), -name)
                 if len(found) < k:
                     heapq.heappush(found, entry)
                 elif entry > found[0]:
