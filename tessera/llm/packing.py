@@ -16,6 +16,8 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +32,7 @@ from tessera.llm.common import slices
 
 #: Blanks other than the six of ASCII; a text that holds one is split by pattern.
 _RARE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
-_NEAR = [pair for blank in " \t\n\r\x0b\x0c" for pair in {" " + blank, blank + " "}]
+_NEAR = re.compile("[ \t\n\r\x0b\x0c] | [ \t\n\r\x0b\x0c]")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -41,21 +43,47 @@ class Plan:
     group: int = 4096
     group_ids: int = 1 << 23
     seed: str = "pack-1"
-    chunks: int = 200_000  #: entries of the table of chunks
+    chunks: int = 350_000  #: entries of the table of chunks, and of the old one
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian uint32."""
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
 
 
 class _Chunks(dict):
-    """Chunk after ``lead`` → its ids as little-endian uint32 bytes."""
+    """Chunk after ``lead`` → its ids as little-endian uint32 bytes.
+
+    A line feed between other characters and a mark after letters are tokens apart in byte-level BPE, so such chunks are
+    put together from their parts. A full table becomes the old one, from which what is used again is taken over.
+    """
 
-    def __init__(self, tokenizer, lead: str, limit: int):
+    def __init__(self, tokenizer, lead: str, limit: int, plain: _Chunks | None = None):
         super().__init__()
-        self.encode, self.lead, self.limit = tokenizer.encode, lead, limit
+        self.encode, self.lead, self.limit, self.old = tokenizer.encode, lead, limit, {}
+        self.plain = self if plain is None else plain  #: of what follows a line feed
+        self.marks = {mark: self._encoded(mark) for mark in "\n.,;:!?"}
+
+    def _encoded(self, text: str) -> bytes:
+        return pack_ids(self.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, chunk: str) -> bytes:
+        found = self.old.get(chunk)
+        if found is not None:
+            self[chunk] = found
+            return found
+        head, feed, tail = chunk.partition("\n")
+        if head and tail and not head[-1].isspace() and not tail[0].isspace():
+            return self[head] + self.marks[feed] + self.plain[tail]
+        if chunk[-1:] in self.marks and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self.marks[chunk[-1]]
+        found = self._encoded(self.lead + chunk)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        ids = self.encode(self.lead + chunk, add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
         if len(chunk) < 64:
             self[chunk] = found
         return found
@@ -66,14 +94,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.first, self.later = _Chunks(tokenizer, "", limit), _Chunks(tokenizer, " ", limit)
+        self.first = _Chunks(tokenizer, "", limit)
+        self.later = _Chunks(tokenizer, " ", limit, self.first)
 
     def ids(self, text: str) -> bytes:
         """Little-endian uint32 ids of a text."""
         if (
             text[:1] == " "
             or text[-1:] == " "
-            or any(pair in text for pair in _NEAR)
+            or _NEAR.search(text)
             or not text.isascii()
             and any(blank in text for blank in _RARE)
         ):
@@ -148,7 +177,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         .repartition("pack_order")
         .sortWithinPartitions("pack_order", key, text)
     )
-    end = np.array([plan.end_id], "<u4").tobytes()
+    end = pack_ids([plan.end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer, plan.chunks)
