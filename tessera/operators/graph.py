@@ -22,19 +22,27 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | N
     if backwards:
         steps = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     steps = scratch.table(steps, "steps")
-    first = steps if seeds is None else steps.join(seeds.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
-    frontier = scratch.table(first.withColumn("depth", F.lit(1)), "round-1")
-    rounds, depth = [frontier], 1
     hop = steps.select(F.col("src").alias("mid"), F.col("dst").alias("next"))
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        reached = frontier.join(hop, frontier["dst"] == hop["mid"]).select("src", F.col("next").alias("dst")).distinct()
-        known = reduce(DataFrame.unionByName, rounds).select("src", "dst")
-        fresh = reached.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = scratch.table(fresh, f"round-{depth}")
+    first = steps if seeds is None else steps.join(seeds.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    frontier, rounds, depth = first.withColumn("depth", F.lit(1)), [], 1
+    while True:
+        # Two layers a round: half as many written tables, and the second reuses the first one's shuffle.
+        layers = [frontier] if not rounds else []
+        for _ in range(2):
+            if max_depth is not None and depth >= max_depth:
+                break
+            depth += 1
+            known = reduce(DataFrame.unionByName, [*rounds, *layers]).select("src", "dst")
+            reached = frontier.join(hop, frontier["dst"] == hop["mid"]).select("src", F.col("next").alias("dst")).distinct()
+            frontier = reached.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth))
+            layers.append(frontier)
+        if not layers:
+            break
+        written = scratch.table(reduce(DataFrame.unionByName, layers), f"round-{depth}")
+        rounds.append(written)
+        frontier = written.filter(F.col("depth") == depth)
         if frontier.isEmpty():
             break
-        rounds.append(frontier)
     found = reduce(DataFrame.unionByName, rounds)
     if backwards:
         found = found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "depth")
