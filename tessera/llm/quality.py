@@ -41,16 +41,32 @@ VERDICT = pa.schema(
 
 @dataclass(frozen=True)
 class Bands:
-    """``whole``: (bytes from which it holds, least ratio, greatest ratio), ascending. Chunks: (least, greatest)."""
+    """``whole``: (bytes from which it holds, least ratio, greatest ratio), ascending. Chunks: (least, greatest).
+
+    The limits of a length are the 0.1 % quantile less 0.05 and the 99.9 % quantile plus 0.02 of the ratios of the texts
+    that pass the base rule, measured on sf0.1 and check_s (54,214 texts). Random words are told apart where their ratio
+    leaves that range: base64 at every length, lower-case letters from 1 kB, hex digits from 4 kB. Shorter ones compress
+    as prose does.
+    """
 
     whole: tuple[tuple[int, float, float], ...] = (
         (0, 0.0, 9.0),
-        (256, 0.30, 0.92),
-        (512, 0.28, 0.84),
-        (1024, 0.26, 0.76),
-        (4096, 0.24, 0.70),
-        (16384, 0.20, 0.66),
-        (65536, 0.17, 0.62),
+        (256, 0.476, 0.801),
+        (320, 0.467, 0.766),
+        (384, 0.470, 0.746),
+        (512, 0.448, 0.715),
+        (640, 0.435, 0.690),
+        (768, 0.416, 0.661),
+        (1024, 0.391, 0.612),
+        (1536, 0.368, 0.578),
+        (2048, 0.356, 0.563),
+        (3072, 0.341, 0.534),
+        (4096, 0.326, 0.517),
+        (6144, 0.320, 0.495),
+        (8192, 0.312, 0.483),
+        (16384, 0.292, 0.460),
+        (32768, 0.290, 0.453),
+        (65536, 0.284, 0.428),
     )
     chunk_bytes: int = 4096
     chunk: tuple[float, float] = (0.16, 0.80)

@@ -96,6 +96,25 @@ def test_quality_keeps_prose_and_rejects_junk(docs):
     assert quality.keep(docs).schema == docs.schema
 
 
+def random_words(rng, alphabet, n):
+    text = ""
+    while len(text) < n:
+        text += "".join(rng.choices(alphabet, k=rng.randint(3, 10))) + " "
+    return text[:n]
+
+
+HEX, LETTERS = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+BASE64 = LETTERS + LETTERS.upper() + "0123456789+/"
+
+
+@pytest.mark.parametrize("alphabet,least", [(HEX, 4200), (LETTERS, 1100), (BASE64, 420)])
+def test_quality_rejects_random_words(spark, alphabet, least):
+    rng = random.Random(9)
+    texts = [random_words(rng, alphabet, n) for n in (least, 2 * least, 5 * least, 100_000)]
+    found = quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.base_failed, r.kept) for r in found] == [(False, False)] * 4
+
+
 # --- 2 ---
 
 
