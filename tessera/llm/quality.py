@@ -1,8 +1,9 @@
 """Quality rules: text statistics and bands of zstandard compression ratios.
 
 A text compresses to a share of its UTF-8 bytes. Repetition makes that share tiny, random junk makes it large, and
-both depend on length, so each length has a band of its own. The whole text must lie in the band of its length, and of
-its fixed chunks at most ``Bands.bad_chunks`` may leave the band of chunks, which finds a text that is half junk.
+both depend on length, so each length has a band of its own. The whole text must lie in the band of its length, and its
+fixed chunks, the last partial one included, each in the band of theirs: chunks that leave it may hold at most
+``Bands.bad_chunks`` of the text's bytes, which finds a text that is half junk.
 
 Defined results: a null or empty text has no words and fails the base rule; texts of any length are compressed whole;
 equal rows get equal verdicts; an empty table gives an empty result; other columns are ignored (``judge``) or passed
@@ -41,16 +42,19 @@ VERDICT = pa.schema(
 
 @dataclass(frozen=True)
 class Bands:
-    """``whole``: (bytes from which it holds, least ratio, greatest ratio), ascending. Chunks: (least, greatest).
+    """``limits``: (bytes from which it holds, least ratio, greatest ratio), ascending, for texts and for chunks.
 
     The limits of a length are the 0.1 % quantile less 0.05 and the 99.9 % quantile plus 0.02 of the ratios of the texts
-    that pass the base rule, measured on sf0.1 and check_s (54,214 texts). Random words are told apart where their ratio
-    leaves that range: base64 at every length, lower-case letters from 1 kB, hex digits from 4 kB. Shorter ones compress
-    as prose does.
+    that pass the base rule and of their chunks, measured on sf0.1 and check_s (54,214 texts).
+    Random words are told apart where their ratio leaves that range: base64 at every length, lower-case letters from
+    1 kB, hex digits from 4 kB. Shorter ones compress as prose does.
     """
 
-    whole: tuple[tuple[int, float, float], ...] = (
+    limits: tuple[tuple[int, float, float], ...] = (
         (0, 0.0, 9.0),
+        (64, 0.670, 1.160),
+        (128, 0.623, 0.904),
+        (192, 0.579, 0.825),
         (256, 0.476, 0.801),
         (320, 0.467, 0.766),
         (384, 0.470, 0.746),
@@ -69,10 +73,13 @@ class Bands:
         (65536, 0.284, 0.428),
     )
     chunk_bytes: int = 4096
-    chunk: tuple[float, float] = (0.16, 0.80)
     bad_chunks: float = 0.34
     level: int = 3
 
+    def hold(self, size: int, ratio: float) -> bool:
+        _, low, high = [tier for tier in self.limits if tier[0] <= size][-1]
+        return low <= ratio <= high
+
 
 def measure(text: str | None, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple:
     """The values of VERDICT for one text."""
@@ -87,14 +94,15 @@ def measure(text: str | None, bands: Bands, packer: zstandard.ZstdCompressor) ->
     n_repeat = repeated_words(words)
     failed = n_words < 50 or 100 * n_repeat > 50 * n_words
     ratio = len(packer.compress(raw)) / len(raw) if raw else 0.0
-    _, low, high = [tier for tier in bands.whole if tier[0] <= len(raw)][-1]
-    bad = chunks = 0
-    if len(raw) >= 2 * bands.chunk_bytes:  # a shorter text is hardly more than one chunk
-        for at in range(0, len(raw) - bands.chunk_bytes + 1, bands.chunk_bytes):
-            share = len(packer.compress(raw[at : at + bands.chunk_bytes])) / bands.chunk_bytes
-            chunks += 1
-            bad += not bands.chunk[0] <= share <= bands.chunk[1]
-    kept = not failed and low <= ratio <= high and bad <= bands.bad_chunks * chunks
+    bad = chunks = bad_bytes = 0
+    for at in range(0, len(raw), bands.chunk_bytes):
+        chunk = raw[at : at + bands.chunk_bytes]
+        share = ratio if len(chunk) == len(raw) else len(packer.compress(chunk)) / len(chunk)
+        chunks += 1
+        if not bands.hold(len(chunk), share):
+            bad += 1
+            bad_bytes += len(chunk)
+    kept = not failed and bands.hold(len(raw), ratio) and bad_bytes <= bands.bad_chunks * len(raw)
     return n_words, word_chars, n_symbols, n_dup_lines, n_repeat, failed, ratio, bad, chunks, kept
 
 

@@ -115,6 +115,24 @@ def test_quality_rejects_random_words(spark, alphabet, least):
     assert [(r.base_failed, r.kept) for r in found] == [(False, False)] * 4
 
 
+PRINTABLE = "".join(map(chr, range(33, 127)))
+
+
+@pytest.mark.parametrize("alphabet,clean,junk", [
+    (HEX, 4096, 4096), (HEX, 8200, 8200), (HEX, 40_000, 30_000),
+    (PRINTABLE, 4096, 4096), (PRINTABLE, 5000, 3000), (PRINTABLE, 8200, 8200), (PRINTABLE, 40_000, 30_000),
+])
+def test_quality_finds_junk_in_chunks(alphabet, clean, junk):
+    rng, bands = random.Random(4), quality.Bands()
+    packer = quality.zstandard.ZstdCompressor(level=bands.level, write_checksum=False)
+    names = quality.VERDICT.names
+    text = prose(rng, 12_000)[:clean]
+    whole, half = (dict(zip(names, quality.measure(t, bands, packer))) for t in (text, text + random_words(rng, alphabet, junk)))
+    assert whole["kept"] and whole["bad_chunks"] == 0 and whole["n_chunks"] == -(-clean // 4096)
+    assert not half["base_failed"] and not half["kept"]
+    assert half["n_chunks"] == -(-(clean + junk) // 4096) and half["bad_chunks"] >= junk // 4096
+
+
 # --- 2 ---
 
 
