@@ -396,6 +396,47 @@ def test_pitman_yor_seatings_are_consistent():
         assert (np.bincount(level.cells, level.sizes, len(level.counts)) == level.counts).all() and (level.sizes > 0).all()
 
 
+def brute_tables(c, rate, d):
+    """Mean and deviation of the tables of a dish, by sums of Sibuya numbers; in few words, Stirling numbers."""
+    one = np.zeros(c + 1)
+    one[1] = d
+    for n in range(2, c + 1):
+        one[n] = one[n - 1] * (n - 1 - d) / n
+    shares, row = [], np.eye(1, c + 1)[0]
+    for _ in range(c):
+        row = np.convolve(row, one)[: c + 1]
+        shares.append(row[c])
+    t = np.arange(1, c + 1)
+    with np.errstate(divide="ignore"):
+        logs = np.log(shares) + t * np.log(rate) - np.cumsum(np.log(t))
+    weights = np.exp(logs - logs.max())
+    mean = (weights * t).sum() / weights.sum()
+    return mean, math.sqrt((weights * (t - mean) ** 2).sum() / weights.sum())
+
+
+@pytest.mark.parametrize("c,rate,d", [(3, 0.7, 0.5), (60, 12.0, 0.3), (300, 0.01, 0.7), (400, 60.0, 0.5), (129, 4000.0, 0.6)])
+def test_pitman_yor_sweep_seats_every_customer(monkeypatch, c, rate, d):
+    rng = np.random.default_rng(2)
+    level = pitman_yor.Level(np.arange(3000), np.full(3000, c), 3000, 1.0, rng)
+    level.discount, level._small = d, level.small(d)
+    fixed = type("", (), {"gamma": lambda _, shape: np.full(len(shape), rate), "random": rng.random, "geometric": rng.geometric})
+    monkeypatch.setattr(level, "rng", fixed())
+    for _ in range(6):
+        level.sweep(np.ones(3000))
+    mean, spread = brute_tables(c, rate, d)
+    assert abs(level.tables.mean() - mean) < 5 * spread / math.sqrt(3000) + 1e-9
+    assert level.tables.std() == pytest.approx(spread, rel=0.1, abs=0.01)
+
+
+def test_pitman_yor_frequent_cells_leave_their_start():
+    counts = np.array([200_000] + [1] * 50 + [2] * 25)
+    level = pitman_yor.Level(np.zeros(len(counts), np.int64), counts, 1, 1.0, np.random.default_rng(3))
+    start = level.tables[0]
+    for _ in range(12):
+        level.sweep(np.full(len(counts), 1e-6))  # so rare a dish in the parent seldom has more than one table
+    assert start == round(200_000**level.discount) and level.tables[0] < start / 10
+
+
 def test_pitman_yor_beats_the_base_on_held_out(spark):
     rng = random.Random(9)
     pairs = {w: rng.sample("abcdefghij", 3) for w in "abcdefghij"}
