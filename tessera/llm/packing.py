@@ -5,8 +5,8 @@ as ``Plan.group_ids``) is a group and is packed on its own, so a task holds one
 of the rows. A document's ids fill whole sequences first; the rest, shorter than a sequence, goes to the first open
 sequence with room for it, longest rests first.
 
-Texts are split at single blanks between other characters, where byte-level BPE never merges, and the ids of each chunk
-are kept in a bounded table, so the tokenizer sees a frequent word once.
+Texts are split at single blanks between other characters, where byte-level BPE never merges. A slice's distinct chunks
+are looked up in a bounded table, so the tokenizer sees a frequent word once, and ids are gathered by offsets in numpy.
 
 Defined results: a null or empty text is the closing id alone; texts of any length are encoded whole; repeated rows are
 packed each; rests of one length are taken in the order of the group; an empty table gives an empty result; other
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +31,12 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import slices
 
-#: Blanks other than the six of ASCII; a text that holds one is split by pattern.
+#: Blanks other than the six of ASCII; a text that holds one is split by pattern, as is one with blanks side by side.
 _RARE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
-_NEAR = re.compile("[ \t\n\r\x0b\x0c] | [ \t\n\r\x0b\x0c]")
+_ODD = f"\\A | \\z|[ \t\n\r\x0b\x0c] | [ \t\n\r\x0b\x0c]|[{_RARE}]"
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
+_AT_ONCE = 1 << 17  # chunks whose ids are gathered together
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,8 @@ class Plan:
     group: int = 4096
     group_ids: int = 1 << 23
     seed: str = "pack-1"
-    chunks: int = 350_000  #: entries of the table of chunks, and of the old one
+    chunks: int = 200_000  #: entries of each table of chunks, and of the old ones
+    slice_bytes: int = 4 << 20  #: text that is split at once
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -54,40 +58,68 @@ def pack_ids(ids: list[int]) -> bytes:
     return found.tobytes()
 
 
+def _byte_marks() -> list[str]:
+    """The characters that byte-level BPE writes for the 256 bytes: printable ones as they are, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(byte if byte in plain else next(others)) for byte in range(256)]
+
+
 class _Chunks(dict):
     """Chunk after ``lead`` → its ids as little-endian uint32 bytes.
 
-    A line feed between other characters and a mark after letters are tokens apart in byte-level BPE, so such chunks are
-    put together from their parts. A full table becomes the old one, from which what is used again is taken over.
+    A run of letters ends where something else follows, and a line feed between other characters stands alone, so such
+    chunks are put together from their parts, which are kept; letters alone go to the tokenizer's model. A full table becomes
+    the old one, from which what is used again is taken over.
     """
 
     def __init__(self, tokenizer, lead: str, limit: int, plain: _Chunks | None = None):
         super().__init__()
-        self.encode, self.lead, self.limit, self.old = tokenizer.encode, lead, limit, {}
-        self.plain = self if plain is None else plain  #: of what follows a line feed
-        self.marks = {mark: self._encoded(mark) for mark in "\n.,;:!?"}
+        self.encode, self.word, self.lead, self.limit, self.old = tokenizer.encode, tokenizer.model.tokenize, lead, limit, {}
+        self.plain = self if plain is None else plain  #: of what follows letters or a line feed
+        self.marks = dict(enumerate(_byte_marks()))
+        self.marked = lead.translate(self.marks)
+        self.feed = self._encoded("\n")
 
     def _encoded(self, text: str) -> bytes:
         return pack_ids(self.encode(text, add_special_tokens=False).ids)
 
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
-        if found is not None:
-            self[chunk] = found
-            return found
-        head, feed, tail = chunk.partition("\n")
-        if head and tail and not head[-1].isspace() and not tail[0].isspace():
-            return self[head] + self.marks[feed] + self.plain[tail]
-        if chunk[-1:] in self.marks and chunk[:-1].isalpha():
-            return self[chunk[:-1]] + self.marks[chunk[-1]]
-        found = self._encoded(self.lead + chunk)
+    def _parts(self, chunk: str) -> bytes:
+        letters = _LETTERS.match(chunk)
+        if letters:
+            cut = letters.end()
+            if cut == len(chunk):
+                word = chunk
+                if not chunk.isascii():
+                    chunk = chunk.encode().decode("latin-1").translate(self.marks)
+                return self._kept(word, pack_ids([token.id for token in self.word(self.marked + chunk)]))
+            if not chunk[cut].isalpha():
+                return self[chunk[:cut]] + self.plain.after(chunk[cut:])
+        if "\n" in chunk:
+            return self.after(chunk)
+        return self._kept(chunk, self._encoded(self.lead + chunk))
+
+    def after(self, rest: str) -> bytes:
+        """The ids of a chunk, or of what follows letters in it."""
+        head, feed, tail = rest.partition("\n")
+        if feed and not head[-1:].isspace() and tail and not tail[0].isspace():
+            return (self[head] if head else b"") + self.feed + self.plain[tail]
+        return self._encoded(self.lead + rest) if feed else self[rest]
+
+    def _kept(self, part: str, found: bytes) -> bytes:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        if len(chunk) < 64:
-            self[chunk] = found
+        if len(part) < 64:
+            self[part] = found
         return found
 
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.old.get(chunk)
+        if found is not None:
+            return self._kept(chunk, found)
+        return self._parts(chunk) if chunk else b""
+
 
 class Encoder:
     def __init__(self, path: str, limit: int = Plan.chunks):
@@ -97,19 +129,48 @@ class Encoder:
         self.first = _Chunks(tokenizer, "", limit)
         self.later = _Chunks(tokenizer, " ", limit, self.first)
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian uint32 ids of a text."""
-        if (
-            text[:1] == " "
-            or text[-1:] == " "
-            or _NEAR.search(text)
-            or not text.isascii()
-            and any(blank in text for blank in _RARE)
+    def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        """The uint32 ids of each text with ``end`` after them; null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        found: list = [None] * len(texts)
+        for places, lists in (
+            (np.flatnonzero(~odd), pc.split_pattern(texts.filter(pa.array(~odd)), " ")),
+            (np.flatnonzero(odd), pa.array(map(_SINGLE.split, texts.filter(pa.array(odd)).to_pylist()), pa.list_(pa.string()))),
         ):
-            first, *later = _SINGLE.split(text)
-        else:
-            first, *later = text.split(" ")
-        return self.first[first] + b"".join(map(self.later.__getitem__, later))
+            for place, ids in zip(places.tolist(), self._gathered(lists, end) if len(places) else ()):
+                found[place] = ids
+        return found
+
+    def _gathered(self, lists: pa.ListArray, end: int) -> list[np.ndarray]:
+        """Each distinct chunk is looked up once; ids are gathered by offsets."""
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        stops = np.cumsum(sizes)
+        openers, which = np.unique(codes[stops - sizes], return_inverse=True)
+        codes[stops - sizes] = len(chunks) + 1 + which
+        blobs = list(map(self.later.__getitem__, chunks))
+        blobs.append(pack_ids([end]))
+        blobs += [self.first[chunks[n]] for n in openers]
+        codes = np.insert(codes, stops, len(chunks))
+        stops += np.arange(1, len(stops) + 1)
+        lengths = np.fromiter(map(len, blobs), np.int32, len(blobs)) // 4
+        starts = (np.cumsum(lengths) - lengths).astype(np.int32)
+        store = np.frombuffer(b"".join(blobs), "<u4")
+        found, first = [], 0
+        while first < len(stops):  # a bounded number of chunks at once
+            begin = stops[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(stops, begin + _AT_ONCE, "right")))
+            here = codes[begin : stops[last - 1]]
+            each = lengths[here]
+            upto = np.cumsum(each, dtype=np.int64)
+            places = np.repeat((starts[here] - upto + each).astype(np.int32), each)
+            places += np.arange(upto[-1], dtype=np.int32)
+            found += np.split(store[places], upto[stops[first : last - 1] - begin - 1])
+            first = last
+        return found
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -177,7 +238,6 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         .repartition("pack_order")
         .sortWithinPartitions("pack_order", key, text)
     )
-    end = pack_ids([plan.end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer, plan.chunks)
@@ -204,9 +264,8 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
         for batch in batches:
             key_type = batch.schema.field(key).type
-            for rows in slices(batch, text):
-                for name, value in zip(rows.column(key).to_pylist(), rows.column(text).to_pylist()):
-                    ids = np.frombuffer((tokens.ids(value) if value else b"") + end, "<u4")
+            for rows in slices(batch, text, plan.slice_bytes):
+                for name, ids in zip(rows.column(key).to_pylist(), tokens.encode(rows.column(text), plan.end_id)):
                     keys.append(name), group.append(ids)
                     held += len(ids)
                     if len(group) >= plan.group or held >= plan.group_ids:
