@@ -151,6 +151,29 @@ def loose_date(value: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(head, F.lit(f)).cast("date") for f in DATE_FORMATS])
 
 
+def indel(a: Column, b: Column) -> Column:
+    """The share of characters in a longest common subsequence, twice over both lengths, in hundredths; for short texts.
+
+    One row of the table of lengths follows from the one before: the greatest so far of what a column can reach.
+    """
+    left, right = F.split(a, ""), F.split(b, "")
+    places = F.sequence(F.lit(1), F.length(b))
+    start = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
+
+    def row(old: Column, char: Column) -> Column:
+        def extended(new: Column, j: Column) -> Column:
+            hit = F.get(right, j - 1) == char
+            reach = F.when(hit, F.get(old, j - 1) + 1).otherwise(F.get(old, j))
+            return F.concat(new, F.array(F.greatest(reach, F.element_at(new, -1))))
+
+        return F.aggregate(places, F.array(F.lit(0)), extended)
+
+    common = F.element_at(F.aggregate(left, start, row), -1)
+    total = F.length(a) + F.length(b)
+    some = (F.length(a) > 0) & (F.length(b) > 0)
+    return F.when(some, F.bround(F.lit(200) * common / total) / 100).when(total == 0, 1.0).when(total > 0, 0.0)
+
+
 def compare_dates(a: Column, b: Column, text_score: Column) -> Column:
     """Of dates: 1 for one day, .7 for one month, .3 for one year; ``text_score`` where a date is NULL."""
     return (

@@ -128,8 +128,10 @@ class Contract:
             listed = [blank_to_null(F.col(f"`{a}`")) for a in spelled]
             value[name] = F.coalesce(*listed) if listed else F.lit(None).cast("string")
         form = source_type.split("_")[0].upper()
-        number = ordinal if ordinal is not None else F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1
-        made = F.format_string(f"{batch_id}_{form}_REC_%06d", number.cast("int"))
+        if ordinal is None:
+            raw, ordinal = numbered(raw), F.col("_ordinal")
+        number = ordinal
+        made = F.format_string(f"{batch_id}_{form}_REC_%06d", number.cast("long"))
         value["record_id"] = F.coalesce(value["record_id"], made)
         value["source_type"] = F.coalesce(value["source_type"], F.lit(source_type))
         value["batch_id"] = F.coalesce(value["batch_id"], F.lit(batch_id))
@@ -144,6 +146,20 @@ class Contract:
         return self.validated(typed)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows with _ordinal, numbers from 0 without gaps in the order of partitions.
+
+    Partitions are counted first; only one row for each of them is summed up in a window and broadcast.
+    """
+    parted = rows.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id())
+    sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")
+    starts = sizes.select(F.col("_part").alias("_of"), before.alias("_start"))
+    joined = parted.join(F.broadcast(starts), F.col("_part") == F.col("_of"))
+    place = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return joined.withColumn("_ordinal", F.col("_start") + place).drop("_part", "_place", "_of", "_start")
+
+
 def statistics(validated: DataFrame) -> DataFrame:
     """total_parsed, normalized, failed, success_rate (0 without rows)."""
     bad = F.count_if(F.size("_errors") > 0)

@@ -34,6 +34,15 @@ UNKNOWN_PRIORITY = 40
 SKIPPED = ("record_id", "entity_id", "source", "source_type", "batch_id", "ingested_at", "entity_type", "director_of_entity_ids")
 
 
+_PRINTABLE = "".join(map(chr, range(32, 127)))
+
+
+def _descending(text: Column) -> Column:
+    """A text of ASCII that sorts the other way round, NULL last."""
+    turned = F.translate(text, _PRINTABLE, _PRINTABLE[::-1])
+    return F.coalesce(F.concat(turned, F.lit("\x7f")), F.lit("\uffff"))
+
+
 @dataclass(frozen=True)
 class Survivorship:
     priorities: dict[str, int] = field(default_factory=lambda: dict(PRIORITIES))
@@ -56,8 +65,7 @@ class Survivorship:
                 rank = F.when(F.col("source_type") == source, priority).otherwise(rank)
             order = F.struct(-rank, ordinal)
         elif strategy == "most_recent":
-            latest = F.struct(F.col("ingested_at"), value)
-            return F.max(F.when(kept, latest))[name].alias(name)
+            order = F.struct(_descending(F.col("ingested_at")), ordinal)
         else:
             order = F.struct(ordinal)
         return F.min_by(value, F.when(kept, order)).alias(name)

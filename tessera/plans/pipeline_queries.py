@@ -265,7 +265,7 @@ def records(d: Domain) -> DataFrame:
 
 @query("a2_golden_records", RECORDS_SQL + """SELECT cluster_id, m.entity_type, 'GOLDEN_' || min(record_id) AS golden_id,
   first(full_name ORDER BY -length(full_name), ingested_at, record_id) AS full_name,
-  first(address ORDER BY ingested_at DESC, address DESC) FILTER (address IS NOT NULL) AS address,
+  first(address ORDER BY ingested_at DESC, record_id) FILTER (address IS NOT NULL) AS address,
   first(nationality ORDER BY -CASE source_type WHEN 'xml_companies_house' THEN 100 WHEN 'json_land_registry' THEN 90 WHEN 'csv_internal' THEN 80
     ELSE 40 END, ingested_at, record_id) AS nationality,
   first(employee_count ORDER BY -CASE source_type WHEN 'xml_companies_house' THEN 100 WHEN 'json_land_registry' THEN 90 WHEN 'csv_internal' THEN 80

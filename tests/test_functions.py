@@ -42,6 +42,13 @@ def test_dates(spark):
     assert all(r[0] == r[1] for r in df.select(score, "wanted").collect())
 
 
+def test_indel_in_columns(spark):
+    words = ["", "a", "abc", "kitten", "sitting", "12 May 1980", "May 80", "1980-13-45", "80/1/1"]
+    pairs = [(a, b, similarity.indel(a, b) / 100) for a in words for b in words]
+    df = spark.createDataFrame(pairs, "a string, b string, wanted double")
+    assert [tuple(r) for r in df.select("a", "b", text.indel(F.col("a"), F.col("b")).alias("x"), "wanted").collect() if r.x != r.wanted] == []
+
+
 def brute_common(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -66,7 +73,18 @@ def test_similarities():
     assert similarity.abbreviation("j. smith", "john smith") == 1.0
     assert similarity.abbreviation("a b c", "a") == 0.0
     assert similarity.address_score("1 High St, Leeds", "9 Low Rd, Leeds") == 0.4
-    assert similarity.metaphone("Smith") == similarity.metaphone("Smith")
+
+
+@pytest.mark.parametrize(
+    "word,code",
+    [
+        ("Jackson", "JKSN"), ("Smith", "SM0"), ("Knight", "NT"), ("Philip", "FLP"), ("Schmidt", "SKMTT"), ("Which", "WX"), ("Wright", "RT"),
+        ("Church", "XRX"), ("Dodge", "TJ"), ("Thumb", "0M"), ("Xavier", "SFR"), ("Aeon", "EN"), ("Science", "SNS"), ("Nation", "NXN"),
+        ("Sign", "SN"), ("Match", "MX"), ("Bigger", "BKR"), ("Queen Mary", "KN MR"), ("Yes", "YS"), ("Fox", "FKS"), ("Social", "SXL"),
+    ],
+)
+def test_metaphone_by_its_rules(word, code):
+    assert similarity.metaphone(word) == code
 
 
 def test_registered_functions(spark):

@@ -146,3 +146,16 @@ def test_stream_upsert(spark, tmp_path):
     query.awaitTermination()
     last = spark.read.parquet(f"{tmp_path}/s/v={query.lastProgress['batchId']}")
     assert {r.k: r.v for r in last.collect()} == {0: 0, 1: 1, 2: 2, 3: 2, 4: 2}
+
+
+def test_most_recent_ties_go_to_the_least_record(spark):
+    rows = [record(2, address="b", ingested_at="2024-05-05"), record(1, address="a", ingested_at="2024-05-05"), record(3, address="c", ingested_at="2024-05"),
+            record(4, address=None, ingested_at="2025-01-01"), record(5, address="e", ingested_at=None)]
+    made = golden.build(records(spark, *rows).withColumn("cluster_id", F.lit("k")))
+    assert made.first().address == "a"
+
+
+def test_numbers_follow_partitions(spark):
+    raw = spark.range(0, 1000, 1, 7).select(F.col("id").cast("string").alias("fullName"), F.lit("person").alias("entity_type"))
+    made = Contract().normalise(raw, "csv_internal", "B").select("full_name", "record_id").collect()
+    assert all(r.record_id == f"B_CSV_REC_{int(r.full_name):06d}" for r in made)
