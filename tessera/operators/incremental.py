@@ -8,14 +8,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import golden as survivors
-from tessera.operators.components import Scratch, connected_components
+from tessera.operators.components import Scratch, connected_components, looked_up
 from tessera.operators.matching import Matcher
+from tessera.operators.risk import RiskRules
+from tessera.operators.risk import score as risk_score
 
 
 @dataclass(frozen=True)
 class State:
     records: DataFrame  #: all source records seen, with cluster_id
     golden: DataFrame  #: golden records with block_key
+    edges: DataFrame | None = None  #: between golden records
+    risk: DataFrame | None = None  #: golden records with flags, scores and factors
+
+
+def unseen(batch: DataFrame, known: DataFrame, key: str = "record_id") -> DataFrame:
+    """The records of a batch whose key is not known, so a batch that comes again changes nothing."""
+    return batch.join(known.select(key), key, "left_anti")
+
+
+def linked(state: State, rules: RiskRules = RiskRules()) -> State:
+    """The state with edges between its golden records, resolved by the aliases of all records, and with risk."""
+    wanted = {"owned_by_entity_id": "string", "ownership_percentage": "double", "director_of_entity_ids": "string",
+              "is_pep": "boolean", "is_offshore": "boolean", "employee_count": "int"}
+    more = {c: F.lit(None).cast(kind) for c, kind in wanted.items() if c not in state.golden.columns}
+    golden = state.golden.withColumns(more) if more else state.golden
+    scratch = Scratch(golden.sparkSession, "linked")
+    edges = scratch.table(survivors.edges(golden, survivors.aliases(state.records, golden)), "edges")
+    nodes = golden.withColumn("id", F.col("golden_id"))
+    return State(state.records, state.golden, edges, scratch.table(risk_score(nodes, edges, rules), "risk"))
 
 
 def clusters(records: DataFrame, matched: DataFrame) -> DataFrame:
@@ -31,16 +52,17 @@ def resolve(records: DataFrame, matcher: Matcher = Matcher(), rules: survivors.S
     matched = matcher.scored(matcher.pairs(records)).filter("is_match")
     links = matched.select(F.col("l_record_id").alias("src"), F.col("r_record_id").alias("dst"))
     grouped = scratch.table(clusters(records, links), "records")
-    return State(grouped, matcher.with_block(survivors.build(grouped, rules=rules)))
+    return linked(State(grouped, scratch.table(matcher.with_block(survivors.build(grouped, rules=rules)), "golden")))
 
 
 def process(
     state: State, batch: DataFrame, matcher: Matcher = Matcher(), rules: survivors.Survivorship = survivors.Survivorship()
 ) -> State:
     """The state after a batch. Records seen before are skipped; new ones join the golden record of the best match or
-    each other; the order of records has no influence. Golden records and block keys are made anew from lineage."""
+    each other; the order of records has no influence. Golden records and block keys are made anew, from lineage, where
+    a record came in or clusters merged; all others stay as they are. Edges and risk are those of the whole new graph."""
     scratch = Scratch(batch.sparkSession, "batch")
-    fresh = batch.join(state.records.select("record_id"), "record_id", "left_anti")
+    fresh = unseen(batch, state.records)
     met = matcher.scored(matcher.candidates(fresh, state.golden.withColumn("source_type", F.element_at("source_types", 1))))
     best = Window.partitionBy("l_record_id").orderBy(F.desc("score"), "r_golden_id")
     chosen = met.filter("is_match").withColumn("place", F.row_number().over(best)).filter("place = 1")
@@ -48,11 +70,18 @@ def process(
     among = matcher.scored(matcher.pairs(fresh)).filter("is_match")
     links = onto.unionByName(among.select(F.col("l_record_id").alias("src"), F.col("r_record_id").alias("dst")))
     parts = connected_components(links)
-    every = state.records.unionByName(fresh.withColumn("cluster_id", F.col("record_id")))
-    joined = every.join(parts, every["cluster_id"] == parts["node"], "left")
+    known = state.records.withColumn("_new", F.lit(False))
+    every = known.unionByName(fresh.withColumn("cluster_id", F.col("record_id")).withColumn("_new", F.lit(True)))
+    joined = looked_up(every, "cluster_id", parts, "node", "left").withColumn("_was", F.col("cluster_id"))
     grouped = joined.withColumn("cluster_id", F.coalesce("component", "cluster_id")).drop("node", "component")
     grouped = scratch.table(grouped, "records")
-    return State(grouped, matcher.with_block(survivors.build(grouped, rules=rules)))
+    moved = grouped.filter("_new OR _was <> cluster_id")
+    touched = scratch.table(moved.select("cluster_id").distinct(), "touched")
+    gone = touched.unionByName(moved.select(F.col("_was").alias("cluster_id"))).distinct()
+    records = grouped.drop("_new", "_was")
+    made = matcher.with_block(survivors.build(records.join(touched, "cluster_id", "left_semi"), rules=rules))
+    kept = state.golden.join(gone, "cluster_id", "left_anti")
+    return linked(State(records, scratch.table(kept.unionByName(made.select(*kept.columns)), "golden")))
 
 
 def changes(before: State, after: State) -> DataFrame:

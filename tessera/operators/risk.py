@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,3 +83,36 @@ def score(nodes: DataFrame, edges: DataFrame, rules: RiskRules = RiskRules(), cy
 def decision(is_shell, owner_is_pep):
     """REJECT a shell with an exposed owner, enhanced due diligence (EDD) for either, else APPROVE."""
     return F.when(is_shell & owner_is_pep, "REJECT").when(is_shell | owner_is_pep, "EDD").otherwise("APPROVE")
+
+
+def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: boards held by companies, targets that are no companies, ends without a node, ids of several nodes."""
+    ends = [nodes.select(F.col("id").alias(f"{c}_id"), F.col("entity_type").alias(f"{c}_type")) for c in ("src", "dst")]
+    met = edges.join(ends[0], F.col("src") == F.col("src_id"), "left").join(ends[1], F.col("dst") == F.col("dst_id"), "left")
+    counts = met.agg(
+        F.count_if((F.col("rel") == "directorOf") & (F.col("src_type") != "person")).alias("boards_of_companies"),
+        F.count_if(F.col("dst_type") != "company").alias("not_of_companies"),
+        F.count_if(F.col("src_id").isNull() | F.col("dst_id").isNull()).alias("unknown_ends"),
+    )
+    repeated = nodes.groupBy("id").count().filter("count > 1").agg(F.count(F.lit(1)).alias("repeated_ids"))
+    return counts.join(F.broadcast(repeated))  # one row each
+
+
+def first_of(rows: DataFrame, n: int, order: str, *shown: str) -> DataFrame:
+    """The first n rows of a report, and the number of all."""
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    return rows.orderBy(order).limit(n).select(order, *shown).join(F.broadcast(total))
+
+
+def growth(before: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """nodes_before, nodes_after and nodes_new of a batch, by distinct keys."""
+    had, came = before.select(key, F.lit(1).alias("old")), batch.select(key, F.lit(0).alias("old"))
+    nodes = had.unionByName(came).groupBy(key).agg(F.max("old").alias("old"))
+    return nodes.agg(F.sum("old").alias("nodes_before"), F.count(F.lit(1)).alias("nodes_after"), F.count_if(F.col("old") == 0).alias("nodes_new"))
+
+
+def single_entity(nodes: DataFrame, *parts: str) -> DataFrame:
+    """part, entities, most_sources, is_single: entities whose name holds all parts."""
+    found = nodes.filter(reduce(lambda a, b: a & b, [F.col("full_name").contains(p) for p in parts]))
+    counted = found.agg(F.count(F.lit(1)).alias("entities"), F.max("source_count").alias("most_sources"))
+    return counted.select(F.lit("".join(parts)).alias("part"), "entities", "most_sources", (F.col("entities") == 1).alias("is_single"))

@@ -79,19 +79,6 @@ def p7(d):
     return contract.explode_boards(normalised(d)).select("record_id", "director_of_entity_ids")
 
 
-@query("p8_flatten_json", """SELECT event_id, (props->>'k')::INT AS k, event_type FROM events""", domain=False)
-def p8(d):
-    parsed = F.from_json("props", "k int")
-    return d.table("events").select("event_id", parsed["k"].alias("k"), "event_type")
-
-
-@query("p12_html_titles", """SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
-  regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages""", domain=False)
-def p12(d):
-    lang = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
-    return d.table("pages").select("page_id", lang.alias("lang"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
-
-
 @query("v0_validation", RAW_SQL + "SELECT record_id, len(errors)::INT AS n_errors, array_to_string(errors, ',') AS errors FROM checked",
        domain=False)
 def v0(d):
@@ -212,12 +199,13 @@ def t16(d):
 
 
 @query("j3_candidates", PEOPLE_SQL + """SELECT DISTINCT a.k AS fresh, b.k AS golden FROM blocks a JOIN blocks b ON a.entity_type = b.entity_type
-  AND a.k % 5 = 3 AND b.k % 5 < 3 AND a.k < 300 AND (a.block_key = b.block_key OR (upper(a.full_name[1]) = upper(b.full_name[1])
+  AND a.k % 5 = 3 AND b.k % 5 < 3 AND (a.block_key = b.block_key OR ((a.entity_type = 'person' OR a.company_number = b.company_number
+  OR (a.k % 2 = b.k % 2 AND a.address IS NOT NULL AND b.address IS NOT NULL))
   AND NOT EXISTS (SELECT 1 FROM blocks c WHERE c.k % 5 < 3 AND c.block_key = a.block_key)))""", domain=False)
 def j3(d):
     m, p = Matcher(), people(d)
     known = m.with_block(p.filter("k % 5 < 3")).withColumn("golden_id", F.concat(F.lit("G"), "record_id"))
-    return m.candidates(p.filter("k % 5 = 3 AND k < 300"), known).select(F.col("l_k").alias("fresh"), F.col("r_k").alias("golden"))
+    return m.candidates(p.filter("k % 5 = 3"), known).select(F.col("l_k").alias("fresh"), F.col("r_k").alias("golden"))
 
 
 @query("m8_matches", None)
@@ -332,13 +320,13 @@ def a14(d):
 
 @query("a1b_record_clusters", """WITH RECURSIVE links AS (SELECT user_id AS a, event_type AS t, row_number() OVER (PARTITION BY event_type, (event_id // 50)
   ORDER BY event_id) AS n, event_id // 50 AS g FROM events), pairs AS (SELECT DISTINCT x.a, y.a AS b FROM links x JOIN links y ON x.t = y.t AND x.g = y.g
-  AND y.n = x.n + 1 WHERE x.t = 'error' AND x.g < 3), both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+  AND y.n = x.n + 1 WHERE x.t = 'error'), both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
   reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, w.b FROM reach JOIN both_ways w ON reach.b = w.a)
   SELECT a AS node, min(b) AS component FROM reach GROUP BY a""", domain=False)
 def a1b(d):
     from pyspark.sql import Window
 
-    e = d.table("events").filter("event_type = 'error' AND event_id < 150")
+    e = d.table("events").filter("event_type = 'error'")
     order = Window.partitionBy(F.expr("event_id div 50")).orderBy("event_id")
     pairs = e.select(F.col("user_id").alias("src"), F.lead("user_id").over(order).alias("dst"))
     return connected_components(pairs)
@@ -349,17 +337,25 @@ def a1b(d):
 
 @query("i1_incremental_changes", None)
 def i1(d):
-    every = people(d).filter("k < 240").drop("k").withColumn("entity_id", F.lit(None).cast("string"))
-    number = F.substring("record_id", 2, 9).cast("int")
-    first, second = every.filter(number < 180), every.filter(number >= 150)  # some are sent again
+    every = people(d).withColumn("entity_id", F.lit(None).cast("string"))
+    first, second = every.filter("k % 5 < 4").drop("k"), every.filter("k % 5 >= 3").drop("k")  # a fifth is sent again
     before = incremental.resolve(first)
     return incremental.changes(before, incremental.process(before, second))
 
 
-@query("i2_skip_seen", "SELECT event_id FROM events WHERE event_id % 3 = 0 AND event_id % 2 <> 0", domain=False)
-def i2(d):
-    e = d.table("events").select("event_id")
-    return e.filter("event_id % 3 = 0").join(e.filter("event_id % 2 = 0"), "event_id", "left_anti")
+@query("i7_state_risk", None)
+def i7(d):
+    """Edges and risk of the state after a second batch: owners are named by record ids, boards too."""
+    k = F.col("k")
+    owner = F.when((k % 6 == 0) & (k > 1), F.concat(F.lit("R"), F.lpad((k / 2).cast("int").cast("string"), 9, "0")))
+    board = F.when(k % 6 != 0, F.concat(F.lit("R"), F.lpad((k * 6 % 1200).cast("string"), 9, "0")))
+    every = people(d).withColumns(
+        {"entity_id": F.lit(None).cast("string"), "owned_by_entity_id": owner, "ownership_percentage": F.lit(60.0), "director_of_entity_ids": board,
+         "is_pep": k % 13 == 0, "is_offshore": k % 12 == 0, "employee_count": (k % 7).cast("int")}
+    )
+    first, second = every.filter("k % 5 < 4").drop("k"), every.filter("k % 5 >= 3").drop("k")
+    after = incremental.process(incremental.resolve(first), second)
+    return after.risk.select("golden_id", "entity_type", "source_count", "director_count", "owned_count", "risk_score", "risk_level")
 
 
 @query("i8_stream_upsert", """SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC)

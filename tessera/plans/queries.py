@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import graph, risk
-from tessera.operators.components import connected_components
+from tessera.operators.components import Scratch, connected_components
 from tessera.plans.domain import Domain
 from tessera.plans.registry import query
 from tessera.sources import sinks
 
 
-def scored(d: Domain) -> DataFrame:
-    return risk.score(d.nodes, d.edges, cyclic=graph.on_cycles(d.owns, d.closed))  # boards end at companies: no cycle
+def scored(d: Domain, nodes: DataFrame | None = None, cycles: bool = True) -> DataFrame:
+    """Risk of the nodes. ``cycles``: False where only persons or flags that don't depend on cycles are asked for."""
+    # Boards and owners end at companies, so only companies that own and are owned lie on cycles.
+    cyclic = graph.on_cycles(d.owns) if cycles else d.nodes.select("id").limit(0)
+    return risk.score(d.nodes if nodes is None else nodes, d.edges, cyclic=cyclic)
 
 
 def _pairs(d: Domain, pairs: DataFrame) -> DataFrame:
@@ -24,7 +27,7 @@ def _pairs(d: Domain, pairs: DataFrame) -> DataFrame:
 @query("q1_ubo", """SELECT c.src AS person_id, p.full_name AS person, c.dst AS company_id, t.full_name AS company,
   depth::INT AS path_length FROM closed c JOIN persons p ON p.id = c.src JOIN companies t ON t.id = c.dst""")
 def q1(d):
-    return _pairs(d, d.closed).filter("s_entity_type = 'person'").select(
+    return _pairs(d, graph.closure(d.owns, seeds=d.persons.select("id"))).select(
         F.col("src").alias("person_id"), F.col("s_full_name").alias("person"), F.col("dst").alias("company_id"),
         F.col("t_full_name").alias("company"), F.col("depth").alias("path_length"),
     )
@@ -45,7 +48,7 @@ def q1b(d):
   CASE WHEN t.employee_count <= 2 THEN 'YES' WHEN t.employee_count > 2 THEN 'NO' END AS is_shell
   FROM closed c JOIN persons p ON p.id = c.src JOIN companies t ON t.id = c.dst WHERE p.is_pep AND t.is_offshore""")
 def q2(d):
-    met = _pairs(d, d.closed).filter("s_entity_type = 'person' AND s_is_pep AND t_is_offshore")
+    met = _pairs(d, graph.closure(d.owns, seeds=d.persons.filter("is_pep").select("id"))).filter("t_is_offshore")
     shell = F.when(F.col("t_employee_count") <= 2, "YES").when(F.col("t_employee_count") > 2, "NO")
     return met.select(
         F.col("src").alias("person_id"), F.col("s_pep_level").alias("pep_level"), F.col("dst").alias("company_id"),
@@ -56,7 +59,8 @@ def q2(d):
 @query("q2b_pep_exposure_exists", """SELECT id, EXISTS (SELECT 1 FROM closed c JOIN companies t ON t.id = c.dst
   WHERE c.src = persons.id AND t.is_offshore) AS has_offshore FROM persons WHERE is_pep""")
 def q2b(d):
-    off = d.closed.join(d.companies.filter("is_offshore"), F.col("dst") == F.col("id"), "left_semi").select(F.col("src").alias("x")).distinct()
+    closed = graph.closure(d.owns, seeds=d.persons.filter("is_pep").select("id"))
+    off = closed.join(d.companies.filter("is_offshore"), F.col("dst") == F.col("id"), "left_semi").select(F.col("src").alias("x")).distinct()
     return d.persons.filter("is_pep").join(off, F.col("id") == F.col("x"), "left").select("id", F.col("x").isNotNull().alias("has_offshore"))
 
 
@@ -68,7 +72,7 @@ def q3(d):
 
 @query("q3b_cycle_entities", "SELECT n.id, n.entity_type FROM cyclic c JOIN nodes n ON n.id = c.id")
 def q3b(d):
-    return d.nodes.join(graph.on_cycles(d.owns, d.closed), "id", "left_semi").select("id", "entity_type")
+    return d.nodes.join(graph.on_cycles(d.owns), "id", "left_semi").select("id", "entity_type")
 
 
 @query("q4_high_risk_dashboard", """SELECT id, entity_type, full_name, country, risk_score, risk_level_ AS risk_level,
@@ -109,7 +113,8 @@ def q6(d):
   (SELECT max(cents) FROM orders2 WHERE 'P' || o_custkey = p.id) AS max_cents
   FROM persons p JOIN star ON star.src = p.id WHERE p.is_pep GROUP BY p.id""")
 def q7(d):
-    star = graph.reflexive(d.closed, d.nodes).join(d.persons.filter("is_pep").select(F.col("id").alias("src")), "src", "left_semi")
+    peps = d.persons.filter("is_pep").select("id")
+    star = graph.reflexive(graph.closure(d.owns, seeds=peps), peps)
     sizes = star.groupBy("src").agg(F.count_distinct("dst").alias("network"))
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     paid = d.table("orders").groupBy(F.concat(F.lit("P"), "o_custkey").alias("id")).agg(
@@ -131,7 +136,7 @@ def q8(d):
 
 @query("b1a_pep_profiles", "SELECT id, full_name, country, pep_level, risk_score FROM risk WHERE is_pep")
 def b1a(d):
-    return scored(d).filter("is_pep").select("id", "full_name", "country", "pep_level", "risk_score")
+    return scored(d, d.persons.filter("is_pep"), cycles=False).select("id", "full_name", "country", "pep_level", "risk_score")
 
 
 @query("b2a_pep_owned_offshore", """SELECT p.id AS person_id, t.id AS company_id, o.ownership_percentage, t.employee_count
@@ -158,7 +163,7 @@ def b4a(d):
   JOIN boards b ON b.src = r.id WHERE is_nominee_director GROUP BY r.id, director_count""")
 def b5a(d):
     lists = d.boards.groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("dst")), "; ").alias("companies"))
-    return scored(d).filter("is_nominee_director").join(lists, "id").select("id", "director_count", "companies")
+    return scored(d, d.persons, cycles=False).filter("is_nominee_director").join(lists, "id").select("id", "director_count", "companies")
 
 
 @query("b6a_name_check", """SELECT id, full_name, entity_type, is_pep, risk_score, EXISTS (SELECT 1 FROM owns WHERE src = risk.id) AS owns_any
@@ -186,7 +191,7 @@ def b7a(d):
   ELSE 'APPROVE' END AS decision FROM flags t LEFT JOIN owns o ON o.dst = t.id LEFT JOIN nodes n ON n.id = o.src
   WHERE t.entity_type = 'company' AND t.is_offshore""")
 def b8a(d):
-    shells = scored(d).filter("entity_type = 'company' AND is_offshore").select("id", "employee_count", "is_shell")
+    shells = scored(d, d.companies.filter("is_offshore"), cycles=False).select("id", "employee_count", "is_shell")
     owners = d.owns.select("src", "dst").join(d.nodes.select(F.col("id").alias("src"), "is_pep"), "src", "left")
     exposed = F.coalesce("is_pep", F.lit(False))
     return shells.join(owners, F.col("id") == F.col("dst"), "left").select(
@@ -237,10 +242,10 @@ def o8(d):
 
 @query("g2_cycle_enumeration", """, paths AS (SELECT [src] AS path, dst FROM owns UNION
   SELECT list_append(path, paths.dst), owns.dst FROM paths JOIN owns ON paths.dst = owns.src
-  WHERE paths.dst > path[1] AND NOT list_contains(path, paths.dst) AND len(path) < 6)
+  WHERE paths.dst > path[1] AND NOT list_contains(path, paths.dst))
   SELECT array_to_string(path, '>') AS cycle, len(path)::INT AS length FROM paths WHERE dst = path[1]""")
 def g2(d):
-    return graph.cycles(d.owns, 6).select(F.array_join("path", ">").alias("cycle"), "length")
+    return graph.cycles(d.owns).select(F.array_join("path", ">").alias("cycle"), "length")
 
 
 @query("g10_closure", "SELECT src, dst, depth::INT AS depth FROM closed")
@@ -333,7 +338,7 @@ def k6(d):
 
 
 @query("k6_rdf_node_triples", """SELECT p, count(*) AS n FROM (
-  SELECT unnest(list_filter(['type', 'hasName', 'hasGoldenId', 'hasCountry', 'riskScore', 'riskLevel', 'sourceCount',
+  SELECT unnest(list_filter(['type', 'type', 'wasAttributedTo', 'hasName', 'hasGoldenId', 'hasCountry', 'riskScore', 'riskLevel', 'sourceCount',
     CASE WHEN is_pep THEN 'type' END, CASE WHEN is_nominee_director THEN 'type' END,
     CASE WHEN entity_type = 'company' AND is_offshore THEN 'type' END, CASE WHEN is_shell THEN 'type' END,
     CASE WHEN entity_type = 'person' THEN 'isPEP' END, CASE WHEN is_pep THEN 'pepLevel' END,
@@ -357,7 +362,7 @@ def o12(d):
     return d.owns.agg(F.count_if(~F.col("ownership_percentage").between(0, 100)).alias("bad_percentages"), F.count(F.lit(1)).alias("stakes"))
 
 
-@query("j10_third_party_documents", """SELECT doc_id, source, regexp_extract(text, '(?i)(license|copyright|rights reserved)', 1) AS hit
+@query("gt_record_search", """SELECT doc_id, source, regexp_extract(text, '(?i)(license|copyright|rights reserved)', 1) AS hit
   FROM documents WHERE regexp_matches(text, '(?i)license|copyright|rights reserved')""", domain=False)
 def gt(d):
     hit = F.regexp_extract("text", "(?i)(license|copyright|rights reserved)", 1)
@@ -373,10 +378,14 @@ def r2(d):
 
 
 @query("r6_as_of_batch", """SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events
-  WHERE CASE WHEN event_id < 4000 THEN 1 WHEN event_id < 8000 THEN 2 ELSE 3 END <= 2 GROUP BY user_id""", domain=False)
+  WHERE event_id % 3 <= 1 GROUP BY user_id""", domain=False)
 def r6(d):
-    version = F.when(F.col("event_id") < 4000, 1).when(F.col("event_id") < 8000, 2).otherwise(3)
-    seen = d.table("events").filter(version <= 2)
+    """Three batches as versions of a state, each with all before it; the second one is read."""
+    path = Scratch(d.spark, "as-of").root
+    events = d.table("events").select("user_id", "event_id")
+    for version in range(3):
+        sinks.save_state(path, version, events=events.filter(F.col("event_id") % 3 <= version))
+    seen = sinks.load_state(d.spark, path, 1, "events")["events"]
     return seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event"))
 
 
@@ -391,9 +400,52 @@ def o3(d):
     )
 
 
-@query("o10_appointments", """SELECT DISTINCT src AS person_id, dst AS company_id, 'director' AS role FROM boards""")
+@query("o10_appointments", """SELECT DISTINCT 'http://example.org/entity/' || src AS person, 'http://example.org/entity/' || dst AS company FROM boards""")
 def o10(d):
-    return d.boards.select(F.col("src").alias("person_id"), F.col("dst").alias("company_id"), F.lit("director").alias("role"))
+    """directorOf from hasAppointment and atCompany, joined over the triples."""
+    made = sinks.edge_triples(d.edges)
+    has = made.filter(F.col("p") == sinks.UBO + "hasAppointment").select(F.col("s").alias("person"), F.col("o").alias("appointment"))
+    at = made.filter(F.col("p") == sinks.UBO + "atCompany").select(F.col("s").alias("appointment"), F.col("o").alias("company"))
+    return has.join(at, "appointment").select("person", "company").distinct()
+
+
+@query("o11_domains_and_ranges", """SELECT count(*) FILTER (rel = 'directorOf' AND a.entity_type <> 'person') AS boards_of_companies,
+  count(*) FILTER (b.entity_type <> 'company') AS not_of_companies, count(*) FILTER (a.id IS NULL OR b.id IS NULL) AS unknown_ends,
+  (SELECT count(*) FROM (SELECT id FROM nodes GROUP BY id HAVING count(*) > 1)) AS repeated_ids FROM edges LEFT JOIN nodes a ON a.id = src LEFT JOIN nodes b ON b.id = dst""")
+def o11(d):
+    """What the vocabulary's domains, ranges and functional properties forbid, counted."""
+    return risk.violations(d.nodes, d.edges)
+
+
+@query("o13_statements", """SELECT 'http://example.org/entity/statement/' || dst AS statement, 'http://example.org/entity/' || dst AS company, count(*) AS stakes
+  FROM owns GROUP BY dst""")
+def o13(d):
+    made = sinks.statement_triples(d.edges, "2024-01-01")
+    of = made.filter(F.col("p") == sinks.UBO + "forCompany").select(F.col("s").alias("statement"), F.col("o").alias("company"))
+    stakes = made.filter(F.col("p") == sinks.UBO + "hasStake").groupBy(F.col("s").alias("statement")).agg(F.count(F.lit(1)).alias("stakes"))
+    return of.join(stakes, "statement")
+
+
+@query("c2_exposed_persons", """SELECT id, full_name, pep_level, (SELECT count(*) FROM persons WHERE is_pep) AS total FROM persons WHERE is_pep
+  ORDER BY id LIMIT 5""")
+def c2(d):
+    """The first exposed persons, and how many there are."""
+    return risk.first_of(d.persons.filter("is_pep"), 5, "id", "full_name", "pep_level")
+
+
+@query("c3_batch_growth", """SELECT count(*) FILTER (event_id % 4 < 3) AS nodes_before, count(*) AS nodes_after, count(*) FILTER (event_id % 4 = 3) AS nodes_new
+  FROM (SELECT DISTINCT event_id FROM events)""", domain=False)
+def c3(d):
+    """Nodes before and after a batch that sends a quarter of the known events again."""
+    e = d.table("events").select("event_id")
+    return risk.growth(e.filter("event_id % 4 < 3"), e.filter("event_id % 4 >= 2"), "event_id")
+
+
+@query("c4_single_entity_check", """SELECT 'Customer#00000001' AS part, count(*) AS entities, max(source_count)::INT AS most_sources, count(*) = 1 AS is_single
+  FROM nodes WHERE contains(full_name, 'Customer#') AND contains(full_name, '00000001')""")
+def c4(d):
+    """Whether a name is one entity across sources."""
+    return risk.single_entity(d.nodes, "Customer#", "00000001")
 
 
 @query("a10_relation_counts", """SELECT src AS id, count(*) FILTER (rel = 'directorOf') AS director_count,
@@ -406,6 +458,6 @@ def a10(d):
 
 @query("c7_ring_shares", """SELECT o.src, o.dst, o.ownership_percentage FROM owns o JOIN cyclic a ON a.id = o.src JOIN cyclic b ON b.id = o.dst""")
 def c7(d):
-    on = graph.on_cycles(d.owns, d.closed)
+    on = graph.on_cycles(d.owns)
     inner = d.owns.join(on.withColumnRenamed("id", "src"), "src", "left_semi").join(on.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return inner.select("src", "dst", "ownership_percentage")

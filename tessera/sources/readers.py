@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
+class Source(Protocol):
+    """What a reader of another format looks like: a path in, a table of string columns out."""
+
+    def __call__(self, spark: SparkSession, path: str) -> DataFrame: ...
+
+
 ENVELOPES = ("data", "records", "results")
 BOARDS = ("director_of", "directorships", "director_of_entity_ids", "directorOf")
 
@@ -20,14 +29,31 @@ COMPANY = (
 )
 
 
-def csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """All columns as strings; a file that isn't UTF-8 needs its encoding, e.g. ISO-8859-1."""
-    return spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", encoding=encoding, escape='"')
+def csv(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
+    """All columns as strings. Without ``encoding`` a file is UTF-8, or ISO-8859-1 if it holds bytes that UTF-8 has not."""
+
+    def load(files: str | list[str], code: str) -> DataFrame:
+        return spark.read.csv(files, header=True, inferSchema=False, mode="PERMISSIVE", encoding=code, escape='"')
+
+    if encoding:
+        return load(path, encoding)
+    found = load(path, "UTF-8")
+    odd = F.lit(False)
+    for name in found.columns:
+        odd = odd | F.coalesce(F.col(f"`{name}`").contains("\ufffd"), F.lit(False))
+    files = [r[0] for r in found.filter(odd).select(F.input_file_name()).distinct().collect()]  # names of files
+    if not files:
+        return found
+    others = [f for f in found.inputFiles() if f not in files]
+    latin = load(files, "ISO-8859-1")
+    return load(others, "UTF-8").unionByName(latin, allowMissingColumns=True) if others else latin
 
 
 def json(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a list at the root or of the first envelope there is, flattened."""
+    """Rows of a list at the root or of the first envelope there is, flattened; anything else at the root is an error."""
     raw = spark.read.option("primitivesAsString", True).json(path, multiLine=True)
+    if raw.columns == ["_corrupt_record"]:
+        raise ValueError(f"{path}: neither a list nor an object")
     for name in ENVELOPES:
         if name in raw.columns and isinstance(raw.schema[name].dataType, T.ArrayType):
             raw = raw.select(F.explode(name).alias("record")).select("record.*")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.contract import TYPES
+
 ENTITY, UBO = "http://example.org/entity/", "http://example.org/ubo#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+PIPELINE = "urn:pipeline:ubo-graph-v1"  # a fixed value
 PROV, XSD = "http://www.w3.org/ns/prov#", "http://www.w3.org/2001/XMLSchema#"
 
 
@@ -35,6 +38,7 @@ def node_triples(nodes: DataFrame) -> DataFrame:
     true = lambda c: F.coalesce(has(c).cast("boolean"), F.lit(False))
     kind = lambda name, test: _iri(RDF_TYPE, F.lit(UBO + name), test)
     listed = [
+        kind("Entity", person | company),
         kind("Person", person),
         kind("PoliticallyExposedPerson", person & true("is_pep")),
         kind("NomineeDirector", person & true("is_nominee_director")),
@@ -61,6 +65,7 @@ def node_triples(nodes: DataFrame) -> DataFrame:
         _literal("hasCircularOwnership", true("has_circular_ownership"), "boolean", true("has_circular_ownership")),
         _literal("sourceCount", has("source_count"), "integer"),
         _literal(PROV + "generatedAtTime", has("created_at"), "dateTime"),
+        _iri(PROV + "wasAttributedTo", F.lit(PIPELINE)),
         _literal(PROV + "invalidatedAtTime", has("updated_at"), "dateTime"),
     ]
     subject = F.concat(F.lit(ENTITY), F.col("id"))
@@ -71,8 +76,16 @@ def node_triples(nodes: DataFrame) -> DataFrame:
         rows = rows.unionByName(each.select("s", text.alias("t")).select("s", "t.*"))
     if "source_record_ids" in nodes.columns:
         each = nodes.select(subject.alias("s"), F.explode("source_record_ids").alias("r"))
-        derived = _iri(PROV + "wasDerivedFrom", F.concat(F.lit(ENTITY + "record/"), F.col("r")))
+        record = F.concat(F.lit(ENTITY + "RECORD_"), F.col("r"))
+        derived = _iri(PROV + "wasDerivedFrom", record)
         rows = rows.unionByName(each.select("s", derived.alias("t")).select("s", "t.*"))
+        about = [
+            _iri(RDF_TYPE, F.lit(PROV + "Entity")),
+            _literal(PROV + "atLocation", F.concat(F.lit("urn:source:record:"), F.col("r"))),
+            _literal(PROV + "label", F.concat(F.lit("Original record "), F.col("r"))),
+        ]
+        told = each.select("r").distinct().select(record.alias("s"), F.explode(F.array(*about)).alias("t"))
+        rows = rows.unionByName(told.select("s", "t.*"))
     return rows
 
 
@@ -103,6 +116,18 @@ def edge_triples(edges: DataFrame) -> DataFrame:
     return rows.select("x.s", "x.t.*")
 
 
+def statement_triples(edges: DataFrame, date: str) -> DataFrame:
+    """One statement of beneficial owners for each owned company: its type, company, date and stakes."""
+    stakes = edges.filter((F.col("rel") == "owns") & F.col("ownership_percentage").isNotNull())
+    company = F.concat(F.lit(ENTITY), F.col("dst"))
+    subject = F.concat(F.lit(ENTITY + "statement/"), F.col("dst"))
+    about = [_iri(RDF_TYPE, F.lit(UBO + "UBOStatement")), _iri(UBO + "forCompany", company), _literal("reportDate", F.lit(date), "date")]
+    once = stakes.select("dst").distinct().select(subject.alias("s"), F.explode(F.array(*about)).alias("t"))
+    blank = F.concat(F.lit("_:b"), F.substring(F.sha2(F.concat_ws("|", "src", "dst", "rel"), 256), 1, 24))
+    each = stakes.select(subject.alias("s"), _iri(UBO + "hasStake", blank).alias("t"))
+    return once.unionByName(each).select("s", "t.*")
+
+
 def n_triples(triples: DataFrame) -> DataFrame:
     """One line each, for ``write.text``."""
     resource = lambda c: F.when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
@@ -139,6 +164,21 @@ def dead_letters(validated: DataFrame) -> DataFrame:
     )
 
 
+def export_wide(records: DataFrame, path: str, fields: list[str] | None = None) -> int:
+    """Write the contract's fields as CSV, empty where missing or NULL; nothing if there are no rows. Rows written."""
+    if records.isEmpty():
+        return 0
+    names = fields if fields is not None else list(TYPES)
+    shown = [F.coalesce(F.col(n).cast("string"), F.lit("")) if n in records.columns else F.lit("") for n in names]
+    wide = records.select(*[c.alias(n) for c, n in zip(shown, names)])
+    wide.write.mode("overwrite").csv(path, header=True, emptyValue="", quoteAll=False, escape='"')
+    return wide.count()
+
+
+def write_dead_letters(validated: DataFrame, path: str) -> None:
+    dead_letters(validated).write.mode("overwrite").json(path)
+
+
 def save_state(path: str, version: int, **tables: DataFrame) -> None:
     """Each table under its name and version."""
     for name, table in tables.items():

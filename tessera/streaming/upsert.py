@@ -9,15 +9,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def versioned(spark: SparkSession, path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: version n + 1 is the merge of version n and the batch.
-
-    A batch that is run again after a failure writes its version again, so each counts once.
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the versions that are there, ascending."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [entry.getPath().getName() for entry in files.listStatus(folder)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
+
+
+def versioned(
+    spark: SparkSession, path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], keep: int = 3
+) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: a version is the merge of the last one before it and the batch.
+
+    A batch that is run again after a failure writes its version again, so each counts once. ``keep`` versions stay.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(f"{path}/v={number - 1}") if number else None
+        before = [n for n in versions(spark, path) if n < number]
+        old = spark.read.parquet(f"{path}/v={before[-1]}") if before else None
         merge(old, batch).write.mode("overwrite").parquet(f"{path}/v={number}")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for n in before[: max(0, len(before) + 1 - keep)]:
+            gone = folder(f"{path}/v={n}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
     return run
 

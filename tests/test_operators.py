@@ -159,3 +159,26 @@ def test_numbers_follow_partitions(spark):
     raw = spark.range(0, 1000, 1, 7).select(F.col("id").cast("string").alias("fullName"), F.lit("person").alias("entity_type"))
     made = Contract().normalise(raw, "csv_internal", "B").select("full_name", "record_id").collect()
     assert all(r.record_id == f"B_CSV_REC_{int(r.full_name):06d}" for r in made)
+
+
+def test_cycle_membership_by_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    for n in range(6):
+        pairs = {(rng.randrange(14), rng.randrange(14)) for _ in range(rng.choice((4, 12, 18)))}
+        reach = set(pairs)
+        while more := {(a, d) for a, b in reach for c, d in pairs if b == c} - reach:
+            reach |= more
+        df = spark.createDataFrame([*pairs, (99, None)], "src int, dst int")
+        assert {r.id for r in graph.on_cycles(df).collect()} == {a for a, b in reach if a == b}
+    assert graph.on_cycles(df.limit(0)).count() == 0
+
+
+def test_orphans_meet_all_golden_records(spark):
+    known = records(spark, *[record(n, full_name=f"Person {n}", dob=f"19{50 + n}-01-01") for n in range(1, 9)])
+    fresh = records(spark, record(20, full_name="Mr. Person 3", dob="2000-05-05"), record(21, full_name="Person 4", dob="1954-01-01"))
+    m = Matcher(block_rows=2)
+    golden_ = m.with_block(known).withColumn("golden_id", F.concat(F.lit("G"), "record_id"))
+    met = {(r.l_record_id, r.r_record_id) for r in m.candidates(fresh, golden_).collect()}
+    assert {b for a, b in met if a == "R20"} == {f"R{n}" for n in range(1, 9)} and {b for a, b in met if a == "R21"} == {"R4"}
