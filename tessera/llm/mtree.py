@@ -6,35 +6,43 @@ A node is a page of entries: a pivot, the radius that covers what lies below it,
 parent's. A query visits pages by their least possible distance; |d(q, parent) - d(pivot, parent)| minus the radius bounds
 an entry from below without computing its distance. What can't beat the k-th result is left out, ties are not.
 
-Vectors are dealt to trees of bounded size and queries to blocks; each (tree, block) is one stream, the tree's vectors
-before the queries, so a task holds one tree. Each tree gives a query its k best, and the best of these are the result.
-
-Components are integers here, floor(``scale`` times the component), and scores are exact. Defined results: vectors that
-are null or hold null or non-finite components take no part, nor do null ids; an empty vector has inner product 0 with
-all; of vectors of unequal length the shorter goes on with zeros; rows with one id are one vector, the least of them;
-equal scores go to the smaller id; fewer candidates than k are all returned; an empty table gives an empty result; other
-columns are ignored.
+Vectors go to the nearest of up to ``Plan.pivots`` pivots, which a bounded sample gives for their spread, and there to
+trees of bounded size; each tree is grown once and written. A query visits the trees of its nearest pivot first, and with
+its k-th score from there those of the other pivots whose ball can hold something as good. A task holds one tree, queries
+stream past it. How much the bounds save depends on the vectors: among 64 independent dimensions all distances are
+alike and nothing can be left out.
+
+Components are integers here, floor(``scale`` times the component), and scores are exact, by Python's integers where
+float64 can't hold them. Defined results: vectors that are null or hold null or non-finite components take no part, nor
+do null ids; an empty vector has inner product 0 with all; of vectors of unequal length the shorter goes on with zeros;
+each row is a candidate, also if rows share an id; of query rows with one id the least vector asks; equal scores go to
+the smaller id; fewer candidates than k are all returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import Scratch
+
 
 @dataclass(frozen=True)
 class Plan:
     k: int = 5
     scale: int = 256
     page: int = 128  #: entries of a node
-    tree: int = 16384  #: vectors of a tree
-    block: int = 512  #: queries of a block
+    tree: int = 16384  #: vectors of a tree, about
+    pivots: int = 256  #: at the top
+    sample: int = 4096  #: vectors that the pivots are chosen from
 
 
 @dataclass(frozen=True)
@@ -47,19 +55,20 @@ class Node:
 
 
 class MTree:
-    """ids, and vectors as a matrix of integers in float64."""
+    """ids, and vectors as a matrix of integers in float64. ``bound``: greatest squared norm of all vectors, if more are lifted."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = Plan.page):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = Plan.page, bound: float | None = None):
         self.ids, self.vectors, self.page = ids, vectors, page
         norms = (vectors**2).sum(axis=1)
-        self.bound = float(norms.max(initial=0.0))
-        self.lifted = np.column_stack([vectors, np.sqrt(self.bound - norms)])
+        self.bound = max(float(norms.max(initial=0.0)), bound or 0.0)
+        self.lifted = np.column_stack([vectors, np.sqrt(np.maximum(0.0, self.bound - norms))])
         # Rounding of distances: generous, since a bound that is too low costs time only.
         self.slack = 1e-6 * (1.0 + np.sqrt(self.bound))
+        self.computed = 0  #: distances that searches computed
         self.root = self._grow(np.arange(len(ids)), 0) if len(ids) else None
 
     def _to(self, rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-        """Distances, pivots × rows. Norms of lifted vectors all are the bound, and products of integers are exact."""
+        """Distances, pivots × rows. Norms of lifted vectors all are the bound."""
         inner = self.lifted[pivots] @ self.lifted[rows].T
         return np.sqrt(np.maximum(0.0, 2 * (self.bound - inner)))
 
@@ -83,16 +92,20 @@ class MTree:
         return self._node(pivots, pivot, radii, tuple(self._grow(g, s) for s, g in kept))
 
     def _seeds(self, rows: np.ndarray) -> np.ndarray:
-        """Pivots spread over the rows: as many as the pages below need, no more than a page holds."""
+        """Pivots far from each other: as many as the pages below need, no more than a page holds."""
         wanted = min(self.page, max(2, -(-2 * len(rows) // self.page)))
-        return rows[np.linspace(0, len(rows) - 1, wanted).astype(int)]
+        return rows[spread(self.lifted[rows], wanted)]
+
+    def nearest(self, query_id: int | None, query: np.ndarray, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
+        """(score, id) of the k greatest inner products, ties to the smaller id; not of the query's own id.
 
-    def nearest(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the k greatest inner products, ties to the smaller id; not of the query's own id."""
+        ``floor``: what is below this score may be left out.
+        """
         found: list[tuple[int, int]] = []  # a heap of (score, -id): the worst is first
         square = float((query**2).sum()) + self.bound
         lifted = np.append(query, 0.0)
-        worst = np.inf
+        reach = lambda score: float(np.sqrt(max(0.0, square - 2.0 * score))) + self.slack
+        worst = np.inf if floor == -np.inf else reach(floor)
 
         queue: list[tuple[float, int, Node, float]] = []
         if self.root:
@@ -109,6 +122,7 @@ class MTree:
             else:
                 at = np.flatnonzero(near)
                 products = node.block[at] @ lifted
+            self.computed += len(at)
             if node.children:
                 away = np.sqrt(np.maximum(0.0, square - 2.0 * products))
                 below = np.maximum(0.0, away - node.radii[at] - self.slack)
@@ -116,9 +130,9 @@ class MTree:
                     pushed += 1
                     heapq.heappush(queue, (float(low), pushed, node.children[n], float(d)))
                 continue
-            if len(found) == k:
-                good = products >= found[0][0]
-                at, products = at[good], products[good]
+            products = self._exact(node.members[at], query, products)
+            good = products >= (found[0][0] if len(found) == k else floor)
+            at, products = at[good], products[good]
             for score, name in zip(products.tolist(), self.ids[node.members[at]].tolist()):
                 if name == query_id:
                     continue
@@ -128,9 +142,28 @@ class MTree:
                 elif entry > found[0]:
                     heapq.heapreplace(found, entry)
             if len(found) == k:
-                worst = float(np.sqrt(max(0.0, square - 2.0 * found[0][0]))) + self.slack
+                worst = min(worst, reach(found[0][0]))
         return sorted(((s, -n) for s, n in found), key=lambda e: (-e[0], e[1]))
 
+    def _exact(self, rows: np.ndarray, query: np.ndarray, products: np.ndarray) -> np.ndarray:
+        """Products as they are where float64 holds them, else by Python's integers."""
+        if max(self.bound, float((query**2).sum())) < 2.0**52:
+            return products
+        return self.vectors[rows].astype(np.int64).astype(object).dot(np.array([int(x) for x in query], object))
+
+
+def spread(points: np.ndarray, wanted: int) -> np.ndarray:
+    """Rows far from each other, the first one included: the farthest from those chosen comes next."""
+    chosen = [0]
+    if wanted * len(points) > 1 << 22:  # of many rows, evenly chosen ones take part
+        rows = np.linspace(0, len(points) - 1, max(wanted, (1 << 22) // wanted)).astype(int)
+        return rows[spread(points[rows], wanted)]
+    away = ((points - points[0]) ** 2).sum(axis=1)
+    for _ in range(min(wanted, len(points)) - 1):
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return np.unique(chosen)
+
 
 def quantised(vector: Column, scale: int) -> Column:
     """Integers in double, or null if the vector takes no part."""
@@ -139,14 +172,151 @@ def quantised(vector: Column, scale: int) -> Column:
     return F.when(fine, F.transform(wide, lambda x: F.floor(x * F.lit(float(scale))).cast("double")))
 
 
-def _matrix(vectors: list[np.ndarray]) -> np.ndarray:
-    width = max(map(len, vectors), default=0)
-    out = np.zeros((len(vectors), width))
-    for row, v in zip(out, vectors):
-        row[: len(v)] = v
+def _vectors(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    """The column v, shorter ones filled up with zeros."""
+    lists = batch.column("v")
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((batch.num_rows, width))
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
 
+@dataclass(frozen=True)
+class Roots:
+    """The top of the index: pivots with the radii and numbers of trees below them; ``Plan.pivots`` at most."""
+
+    pivots: np.ndarray  #: lifted
+    bound: float
+    radii: np.ndarray | None = None
+    trees: np.ndarray | None = None
+
+    @property
+    def width(self) -> int:
+        return self.pivots.shape[1] - 1
+
+    def of_members(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot of each vector, and its distance."""
+        lifted = np.column_stack([vectors, np.sqrt(np.maximum(0.0, self.bound - (vectors**2).sum(axis=1)))])
+        away = np.sqrt(np.maximum(0.0, 2 * (self.bound - lifted @ self.pivots.T)))
+        return away.argmin(axis=1), away.min(axis=1)
+
+    def of_queries(self, vectors: np.ndarray) -> np.ndarray:
+        """Distances, queries × pivots."""
+        square = (vectors**2).sum(axis=1)[:, None] + self.bound
+        return np.sqrt(np.maximum(0.0, square - 2 * (vectors @ self.pivots[:, :-1].T)))
+
+
+def _roots(whole: DataFrame, plan: Plan) -> Roots:
+    """Pivots are chosen for their spread from a bounded sample; every vector is indexed."""
+    sizes = whole.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"),
+                      F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("bound")).first()
+    width, bound = sizes["width"] or 0, sizes["bound"] or 0.0
+    every = max(1, sizes["n"] // plan.sample)
+    drawn = whole.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(every)) == 0).orderBy(F.xxhash64("id"), "id").limit(2 * plan.sample)
+    rows = drawn.select("v").collect() or whole.select("v").limit(1).collect()
+    vectors = np.zeros((len(rows), width))
+    for at, row in enumerate(rows):
+        vectors[at, : len(row["v"])] = row["v"]
+    lifted = np.column_stack([vectors, np.sqrt(np.maximum(0.0, bound - (vectors**2).sum(axis=1)))])
+    wanted = min(plan.pivots, -(-sizes["n"] // plan.tree) if sizes["n"] else 1)
+    return Roots(lifted[spread(lifted, max(1, wanted))] if len(lifted) else np.zeros((1, width + 1)), bound)
+
+
+def _placed(whole: DataFrame, roots: Roots) -> DataFrame:
+    """pivot, away, id, v."""
+    shared = whole.sparkSession.sparkContext.broadcast(roots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pivot, away = shared.value.of_members(_vectors(batch, shared.value.width))
+            columns = [pa.array(pivot.astype(np.int64)), pa.array(away), batch.column("id"), batch.column("v")]
+            yield pa.RecordBatch.from_arrays(columns, ["pivot", "away", "id", "v"])
+
+    return whole.select("id", "v").mapInArrow(run, "pivot long, away double, id long, v array<double>")
+
+
+def _grown(placed: DataFrame, roots: Roots, plan: Plan) -> DataFrame:
+    """tree, index: one pickled M-tree for each."""
+    shared = placed.sparkSession.sparkContext.broadcast(roots)
+    parts = F.element_at(F.array(*[F.lit(int(n)) for n in roots.trees]), (F.col("pivot") + 1).cast("int"))
+    tree = F.col("pivot") * F.lit(1 << 32) + F.pmod(F.xxhash64("id", F.lit(3)), parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots, here, ids, vectors = shared.value, None, [], []
+
+        def grown() -> pa.RecordBatch:
+            index = MTree(np.concatenate(ids), np.concatenate(vectors), plan.page, roots.bound)
+            return pa.RecordBatch.from_arrays([pa.array([here]), pa.array([pickle.dumps(index)], pa.binary())], ["tree", "index"])
+
+        for batch in batches:
+            names = batch.column("tree").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), len(names)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    if names[a] != here and ids:
+                        yield grown()
+                        ids, vectors = [], []
+                    here = int(names[a])
+                    part = batch.slice(a, b - a)
+                    ids.append(part.column("id").to_numpy()), vectors.append(_vectors(part, roots.width))
+        if ids:
+            yield grown()
+
+    dealt = placed.select(tree.alias("tree"), "id", "v").repartition("tree").sortWithinPartitions("tree", "id")
+    return dealt.mapInArrow(run, "tree long, index binary")
+
+
+def _asked(trees: DataFrame, queries: DataFrame, roots: Roots, plan: Plan, again: bool) -> DataFrame:
+    """query_id, id, score of each query's best in the trees it visits: those of its nearest pivot, or (``again``) those
+    of the others that can hold something as good as ``floor``."""
+    shared = queries.sparkSession.sparkContext.broadcast(roots)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = shared.value
+            away = roots.of_queries(_vectors(batch, roots.width))
+            nearest = np.zeros(away.shape, bool)
+            nearest[np.arange(len(away)), away.argmin(axis=1)] = True
+            if again:
+                floor = batch.column("floor").cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)
+                square = (_vectors(batch, roots.width) ** 2).sum(axis=1) + roots.bound
+                worst = np.where(np.isnan(floor), np.inf, np.sqrt(np.maximum(0.0, square - 2 * np.nan_to_num(floor))))
+                least = away - roots.radii - 1e-6 * (1.0 + np.sqrt(roots.bound))
+                visits = ~nearest & (roots.trees > 0) & (least <= worst[:, None])
+            else:
+                visits = nearest
+            at, pivot = np.nonzero(visits)
+            trees = roots.trees[pivot]
+            rows = np.repeat(at, trees)
+            part = np.arange(len(rows)) - np.repeat(np.cumsum(trees) - trees, trees)
+            chosen = batch.take(pa.array(rows))
+            place = pa.array(np.repeat(pivot.astype(np.int64) << 32, trees) + part)
+            yield pa.RecordBatch.from_arrays([place, *(chosen.column(c) for c in ("id", "v", "floor"))], ["tree", "id", "v", "floor"])
+
+    asking = queries.select("id", "v", "floor").mapInArrow(route, "tree long, id long, v array<double>, floor long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots, index, here = shared.value, None, None
+        for whole in batches:
+            for start in range(0, whole.num_rows, 64):
+                batch, out = whole.slice(start, 64), []
+                vectors = _vectors(pa.record_batch({"v": pc.fill_null(batch.column("v"), [])}), roots.width)
+                columns = (batch.column(c).to_pylist() for c in ("tree", "index", "id", "floor"))
+                for n, (tree, blob, name, floor) in enumerate(zip(*columns)):
+                    if blob is not None:
+                        index, here = pickle.loads(blob), tree
+                    elif tree == here:
+                        best = index.nearest(name, vectors[n], plan.k, -np.inf if floor is None else floor)
+                        out += [(name, other, score) for score, other in best]
+                if out:
+                    columns = [pa.array(c, pa.int64()) for c in zip(*out)]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
+
+    streams = trees.unionByName(asking, allowMissingColumns=True).repartition("tree")
+    return streams.sortWithinPartitions("tree", F.col("index").isNull(), "id").mapInArrow(run, "query_id long, id long, score long")
+
+
 def search(
     table: DataFrame,
     is_query: Column,
@@ -155,47 +325,26 @@ def search(
     plan: Plan = Plan(),
 ) -> DataFrame:
     """query_id, rank, key, score. ``is_query`` is a condition on the key."""
+    scratch = Scratch(table.sparkSession, "mtree")
     whole = table.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), plan.scale).alias("v"))
-    whole = whole.filter("id IS NOT NULL AND v IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"))
-    total = whole.count()
-    queries = whole.withColumnRenamed("id", key).filter(is_query).withColumnRenamed(key, "id")
-    trees = max(1, -(-total // plan.tree))
-    blocks = max(1, -(-queries.count() // plan.block))
-    tree, block = F.pmod(F.xxhash64("id"), F.lit(trees)), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    members = whole.select(tree.alias("tree"), every(blocks).alias("block"), F.lit(0).alias("kind"), "id", "v")
-    asking = queries.select(every(trees).alias("tree"), block.alias("block"), F.lit(1).alias("kind"), "id", "v")
-    place = ["tree", "block"]
-    streams = members.unionByName(asking).repartition(*place).sortWithinPartitions(*place, "kind", "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, ids, vectors, built = None, [], [], None
-        for batch in batches:
-            trees_, blocks_, kinds, names = (batch.column(c).to_pylist() for c in ("tree", "block", "kind", "id"))
-            lists = batch.column("v")
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            out = []
-            for n, name in enumerate(names):
-                if (trees_[n], blocks_[n]) != here:
-                    here, ids, vectors, built = (trees_[n], blocks_[n]), [], [], None
-                v = flat[offsets[n] : offsets[n + 1]]
-                if kinds[n] == 0:
-                    ids.append(name), vectors.append(v.copy())
-                    continue
-                if built is None:
-                    built = MTree(np.array(ids, np.int64), _matrix(vectors), plan.page)
-                width = built.vectors.shape[1]
-                query = np.zeros(width)
-                query[: min(width, len(v))] = v[:width]
-                out += [(name, other, score) for score, other in built.nearest(name, query, plan.k)]
-            if out:
-                columns = [pa.array(c, pa.int64()) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
-
-    found = streams.mapInArrow(run, "query_id long, id long, score long")
+    whole = scratch.table(whole.filter("id IS NOT NULL AND v IS NOT NULL"), "vectors")
+    queries = whole.withColumnRenamed("id", key).filter(is_query).withColumnRenamed(key, "id").groupBy("id").agg(F.min("v").alias("v"))
+    roots = _roots(whole, plan)
+    placed = scratch.table(_placed(whole, roots), "placed")
+    below = {r["pivot"]: r for r in placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}
+    radii, trees = np.zeros(len(roots.pivots)), np.zeros(len(roots.pivots), np.int64)
+    for pivot, row in below.items():
+        radii[pivot], trees[pivot] = row["radius"], -(-row["n"] // plan.tree)
+    roots = replace(roots, radii=radii, trees=trees)
+    grown = scratch.table(_grown(placed, roots, plan), "trees")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= plan.k)
+    best = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= plan.k)
+    first = scratch.table(best(_asked(grown, queries.withColumn("floor", F.lit(None).cast("long")), roots, plan, False)), "first")
+    floors = first.filter(F.col("rank") == plan.k).select(F.col("query_id").alias("of"), F.col("score").alias("floor"))
+    known = queries.join(floors, F.col("id") == F.col("of"), "left").drop("of")
+    second = _asked(grown, known, roots, plan, True)
+    ranked = scratch.table(best(first.drop("rank").unionByName(second)), "found")
+    scratch.drop("vectors", "placed", "trees", "first")
     return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
 
 
