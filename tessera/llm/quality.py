@@ -1,7 +1,9 @@
 """Quality rules: text statistics and bands of zstandard compression ratios.
 
-A text compresses to a share of its UTF-8 bytes. Repetition makes that share tiny, random junk makes it large, and
-both depend on length, so each length has a band of its own. The whole text must lie in the band of its length, and its
+A text compresses to a share of its UTF-8 bytes. Repetition makes that share tiny, random junk makes it large, tables and
+sign-studded words move it too, and all depends on length, so each length has a band of its own. ``fit`` sets them from the
+corpus: of all texts that pass the base rule, the median ratio of each tier of lengths and the median distance from it,
+so the bands follow prose whatever share of junk there is below a half. The whole text must lie in the band of its length, and its
 fixed chunks, the last partial one included, each in the band of theirs: chunks that leave it may hold at most
 ``Bands.bad_chunks`` of the text's bytes, which finds a text that is half junk.
 
@@ -12,12 +14,17 @@ through unchanged, whatever their names (``keep``).
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from tessera.llm.common import per_slice
@@ -44,10 +51,8 @@ VERDICT = pa.schema(
 class Bands:
     """``limits``: (bytes from which it holds, least ratio, greatest ratio), ascending, for texts and for chunks.
 
-    The limits of a length are the 0.1 % quantile less 0.05 and the 99.9 % quantile plus 0.02 of the ratios of the texts
-    that pass the base rule and of their chunks, measured on sf0.1 and check_s (54,214 texts).
-    Random words are told apart where their ratio leaves that range: base64 at every length, lower-case letters from
-    1 kB, hex digits from 4 kB. Shorter ones compress as prose does.
+    Those given here hold for tiers with too few texts to fit them: the 0.1 % quantile less 0.05 and the 99.9 % quantile
+    plus 0.02 of the ratios of prose in four languages.
     """
 
     limits: tuple[tuple[int, float, float], ...] = (
@@ -76,10 +81,47 @@ class Bands:
     bad_chunks: float = 0.34
     level: int = 3
 
+    below: float = 3.5  #: a fitted band reaches so many deviations below the median
+    above: float = 4.5
+    least: int = 300  #: texts that a tier is fitted on, at least
+    tiers: int = 4  #: to an octave of lengths
+
+    @cached_property
+    def _starts(self) -> list[int]:
+        return [tier[0] for tier in self.limits]
+
     def hold(self, size: int, ratio: float) -> bool:
-        _, low, high = [tier for tier in self.limits if tier[0] <= size][-1]
+        _, low, high = self.limits[bisect_right(self._starts, size) - 1]
         return low <= ratio <= high
 
+    def tier(self, size: int) -> int:
+        return int(math.log2(size) * self.tiers) if size else 0
+
+    def fitted(self, cells: dict[tuple[int, int], int]) -> Bands:
+        """With bands from counts of texts by (tier, thousandths of the ratio)."""
+        found = []
+        for tier in range(max((t for t, _ in cells), default=-1) + 2):
+            start = math.ceil(2 ** (tier / self.tiers)) if tier else 0
+            own = sorted((cell, n) for (t, cell), n in cells.items() if t == tier)
+            low, high = self.limits[bisect_right(self._starts, start) - 1][1:]
+            if sum(n for _, n in own) >= self.least:
+                middle = _median(own)
+                spread = 1.4826 * max(1.0, _median(sorted((abs(cell - middle), n) for cell, n in own)))
+                low, high = (middle - self.below * spread) / 1000, (middle + self.above * spread) / 1000
+            found.append((start, low, high))
+        beyond = [tier for tier in self.limits if tier[0] > found[-1][0]]
+        return replace(self, limits=(*found, *beyond))
+
+
+def _median(counted: list[tuple[float, int]]) -> float:
+    """Of values with counts, ascending: the least that half of them don't exceed."""
+    half, total = sum(n for _, n in counted) / 2, 0
+    for value, n in counted:
+        total += n
+        if total >= half:
+            return value
+    raise ValueError("no values")
+
 
 def measure(text: str | None, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple:
     """The values of VERDICT for one text."""
@@ -92,7 +134,7 @@ def measure(text: str | None, bands: Bands, packer: zstandard.ZstdCompressor) ->
     lines = [line for line in raw.split(b"\n") if line and not line.isspace()]
     n_dup_lines = len(lines) - len(set(lines))
     n_repeat = repeated_words(words)
-    failed = n_words < 50 or 100 * n_repeat > 50 * n_words
+    failed = base_failed(n_words, n_repeat)
     ratio = len(packer.compress(raw)) / len(raw) if raw else 0.0
     bad = chunks = bad_bytes = 0
     for at in range(0, len(raw), bands.chunk_bytes):
@@ -106,6 +148,10 @@ def measure(text: str | None, bands: Bands, packer: zstandard.ZstdCompressor) ->
     return n_words, word_chars, n_symbols, n_dup_lines, n_repeat, failed, ratio, bad, chunks, kept
 
 
+def base_failed(n_words: int, n_repeat: int) -> bool:
+    return n_words < 50 or 100 * n_repeat > 50 * n_words
+
+
 def repeated_words(words: list) -> int:
     """How many words stand in a window of three words that occurs twice or more."""
     windows = list(zip(words, words[1:], words[2:]))
@@ -127,8 +173,27 @@ def _verdicts(batch: pa.RecordBatch, text: str, bands: Bands) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, VERDICT)], schema=VERDICT)
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: Bands = Bands()) -> DataFrame:
-    """One row per document: its key and VERDICT."""
+def fit(docs: DataFrame, text: str = "text", bands: Bands = Bands()) -> Bands:
+    """Bands from every text that passes the base rule. Their counts are cells of tiers and thousandths, bounded in number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, cells = zstandard.ZstdCompressor(level=bands.level, write_checksum=False), Counter()
+        for batch in batches:
+            for value in batch.column(0):
+                raw = (value.as_py() or "").encode()
+                words = raw.split()
+                if not base_failed(len(words), repeated_words(words)):
+                    cells[bands.tier(len(raw)), int(1000 * len(packer.compress(raw)) / len(raw))] += 1
+        columns = [pa.array(c, pa.int64()) for c in ([t for t, _ in cells], [c for _, c in cells], list(cells.values()))]
+        yield pa.RecordBatch.from_arrays(columns, ["tier", "cell", "n"])
+
+    sums = docs.select(text).mapInArrow(run, "tier long, cell long, n long").groupBy("tier", "cell").agg(F.sum("n").alias("n"))
+    return bands.fitted({(r["tier"], r["cell"]): r["n"] for r in sums.collect()})
+
+
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: Bands | None = None) -> DataFrame:
+    """One row per document: its key and VERDICT. Without ``bands`` they are fitted to the documents."""
+    bands = fit(docs, text) if bands is None else bands
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = _verdicts(batch, text, bands)
@@ -141,8 +206,9 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: Bands
     return chosen.mapInArrow(per_slice(run, text), schema)
 
 
-def keep(docs: DataFrame, text: str = "text", bands: Bands = Bands()) -> DataFrame:
+def keep(docs: DataFrame, text: str = "text", bands: Bands | None = None) -> DataFrame:
     """The documents that pass, with the columns they came with."""
+    bands = fit(docs, text) if bands is None else bands
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(_verdicts(batch, text, bands).column("kept"))
