@@ -3,8 +3,9 @@
 Every run of ``k`` words of a text is hashed and joined with the positions of the same run in templates of license
 texts (a fixed list, so the broadcast side is bounded). A hit lies on the diagonal text position minus template
 position; a copied passage puts its hits on one diagonal, and a word more or less moves the rest to a neighbouring one.
-So hits are counted by diagonal, diagonals up to ``gap`` apart are merged, and a merged span is verified: its runs have
-been compared word by word, and together they must cover ``cover`` of the template.
+So hits are counted by diagonal, diagonals up to ``GAP`` apart are merged, and a merged span is verified: its runs have
+been compared word by word, together they must cover ``COVER`` of the template, and their diagonals may drift by ``DRIFT`` of
+its length at most: words in another order, or far apart, lie on diagonals far from each other.
 
 Defined results: null counts as empty; a text without words has no labels and score 0; texts of any length are taken
 whole; repeated rows (equal key and text) get equal results, one each; a null key is a key of its own; an empty table
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-K, GAP, COVER = 4, 2, 0.6
+K, GAP, COVER, DRIFT = 4, 2, 0.6, 0.25
 
 # Phrases and labels of the base rule.
 PHRASES = (
@@ -25,7 +26,7 @@ PHRASES = (
     ("all rights reserved", "reserved"),
 )
 
-# Openings of public license texts, lower case, words parted by single blanks.
+# Openings and whole texts of public licenses, lower case, words parted by single blanks.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
     (
@@ -57,6 +58,44 @@ TEMPLATES = (
     ),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction including without limitation the "
+        "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright "
+        "notice and this permission notice shall be included in all copies or substantial portions of the software the "
+        "software is provided as is without warranty of any kind express or implied including but not limited to the "
+        "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the "
+        "authors or copyright holders be liable for any claim damages or other liability whether in an action of "
+        "contract tort or otherwise arising from out of or in connection with the software or the use or other dealings "
+        "in the software",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies the software "
+        "is provided as is and the author disclaims all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness in no event shall the author be liable for any special direct "
+        "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether "
+        "in an action of contract negligence or other tortious action arising out of or in connection with the use or "
+        "performance of this software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+        "following conditions are met redistributions of source code must retain the above copyright notice this list "
+        "of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright "
+        "notice this list of conditions and the following disclaimer in the documentation and or other materials "
+        "provided with the distribution",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held "
+        "liable for any damages arising from the use of this software permission is granted to anyone to use this "
+        "software for any purpose including commercial applications and to alter it and redistribute it freely subject "
+        "to the following restrictions",
+    ),
 )
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -118,7 +157,11 @@ def spans(found: DataFrame) -> DataFrame:
         votes.withColumn("fresh", fresh.cast("int"))
         .withColumn("span", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*of, "span")
-        .agg(F.array_distinct(F.flatten(F.collect_list("votes"))).alias("votes"))
+        .agg(
+            F.array_distinct(F.flatten(F.collect_list("votes"))).alias("votes"),
+            (F.max("diagonal") - F.min("diagonal")).alias("drift"),
+        )
+        .filter(F.col("drift") <= F.greatest(F.lit(GAP), F.floor(F.col("t_len") * F.lit(DRIFT))))
     )
     covered = F.expr(f"size(array_distinct(flatten(transform(votes, p -> sequence(p, p + {K - 1})))))")
     return merged.select("key", "same", "label", (covered / F.col("t_len")).alias("cover")).filter(F.col("cover") >= COVER)
@@ -194,8 +237,10 @@ lagged AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER o > {GAP}, true)::IN
     WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 merged AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal
     ROWS UNBOUNDED PRECEDING) AS span FROM lagged),
+drifts AS (SELECT doc_id, template, span, max(diagonal) - min(diagonal) AS drift FROM merged GROUP BY ALL),
 covered AS (SELECT DISTINCT doc_id, template, label, t_len, span, t_at + unnest(range(0, {K})) AS p
-    FROM hits JOIN merged USING (doc_id, template, diagonal)),
+    FROM hits JOIN merged USING (doc_id, template, diagonal) JOIN drifts USING (doc_id, template, span)
+    WHERE drift <= greatest({GAP}, floor(t_len * {DRIFT}))),
 spans AS (SELECT doc_id, label, count(*) / t_len AS cover FROM covered GROUP BY doc_id, template, label, t_len, span),
 voted AS (SELECT doc_id, list_distinct(list(label)) AS voted, max(cover) AS cover FROM spans WHERE cover >= {COVER}
     GROUP BY doc_id)
