@@ -11,7 +11,7 @@ broadcast, is bounded by the parameters. A weight whose source is absent takes n
 
 Defined results: null and empty texts are documents like others; a null key counts as the text ``null``; repeated rows
 (one key) get one count each and are all replicated; an empty table gives an empty result; columns of the input named
-``n_copies``, ``copy_no`` or ``shuffle_key`` are replaced.
+``n_copies``, ``copy_no`` or ``shuffle_key`` are replaced, all others come back unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -81,21 +81,20 @@ def mix(
     names = [c for c in docs.columns if c not in ("n_copies", "copy_no", "shuffle_key")]
     table = rates(docs, source, weights, rest_weight, total)
     ident = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("mix_parts")),
-        F.lit(0),
-        lambda n, j: n + F.size(F.filter("mix_cdf", lambda f: uniform(seed, ident, j.cast("string")) >= f)),
-    )
+    # The input's columns travel in one, so no name of theirs can clash.
+    packed = docs.select(F.struct(*names).alias("doc"), ident.alias("ident"), _class(source, weights).alias("class"))
+    draws = F.transform(F.sequence(F.lit(1), F.col("mix_parts")), lambda j: uniform(seed, F.col("ident"), j.cast("string")))
+    drawn = F.aggregate("draws", F.lit(0), lambda n, u: n + F.size(F.filter("mix_cdf", lambda f: u >= f)))
     counted = (
-        docs.select(*names)
-        .withColumn("mix_class", _class(source, weights))
-        .join(F.broadcast(table), "mix_class")
-        .withColumn("n_copies", drawn)
+        packed.join(F.broadcast(table), F.col("class") == F.col("mix_class"))
+        .withColumn("draws", draws)
+        .select("doc", "ident", drawn.alias("n_copies"))
         .filter("n_copies > 0")
     )
-    copies = counted.select(*names, "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy_no"))
-    keyed = copies.withColumn("shuffle_key", F.xxhash64(F.lit(seed), ident, F.col("copy_no")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    copies = counted.select("doc", "ident", "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy_no"))
+    keyed = copies.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "ident", "copy_no"))
+    dealt = keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return dealt.select("doc.*", "n_copies", "copy_no", "shuffle_key")
 
 
 def oracle(weights: dict[str, float] = WEIGHTS, rest_weight: float = REST_WEIGHT, seed: str = "mix-1") -> str:
