@@ -2,9 +2,10 @@
 
 Texts are folded (letters lower case, all else a blank) and their n-grams of 1 to ``Plan.order`` characters hashed into
 ``Plan.buckets``. Counts by (language, bucket) are summed over every training document; the matrix of log-probabilities
-has languages times buckets entries, and languages are at most ``Plan.languages`` (more raise an error), so the
-broadcast is bounded by parameters. A slice of documents is a sparse matrix, rows of bucket numbers, which numpy
-multiplies by gathering and summing segments.
+has languages times buckets entries. It is made and broadcast in blocks of ``Plan.languages`` languages, so each broadcast is
+bounded by parameters; texts pass the blocks one after another and carry the best language so far and the sum for the
+posterior. A slice of documents is a sparse matrix, rows of bucket numbers, which numpy multiplies by gathering and
+summing segments.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text if no document could be
 learnt from; texts of any length are scored whole; ties go to the language that sorts first; a null key takes part in
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices
+from tessera.llm.common import Scratch, slices
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,7 @@ class Plan:
     order: int = 3
     buckets: int = 1 << 14
     smoothing: float = 0.5
-    languages: int = 1000
+    languages: int = 1000  #: of a block
 
 
 def held_out(key: str) -> Column:
@@ -57,9 +58,10 @@ def _folding() -> np.ndarray:
 
 def ngrams(texts: list[str | None], plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all n-grams, the number of the text of each, and whether a text has a letter."""
-    gap = plan.order - 1  # blanks between texts, so no n-gram reaches into two
-    joined = ("\0" * gap).join(t or "" for t in texts) + "\0" * gap
+    gap = plan.order - 1  # blanks before each text, which belong to it, so no n-gram reaches into two
+    joined = "".join("\0" * gap + (t or "") for t in texts) + "\0" * gap
     lengths = np.array([len(t or "") + gap for t in texts], np.int64)
+    lengths[-1:] += gap
     codes = _folding()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
     letter = codes > 0
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
@@ -83,21 +85,15 @@ class Model:
     log_prob: np.ndarray  #: languages × buckets
     plan: Plan
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """The most probable language of each text and its posterior probability."""
-        n = len(texts)
-        if not self.languages:
-            return ["und"] * n, np.zeros(n)
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probabilities, languages × texts, and whether a text has a letter."""
         buckets, owners, has_letter = ngrams(texts, self.plan)
-        sums = np.stack([np.bincount(owners, row[buckets], n) for row in self.log_prob]) + self.log_prior[:, None]
-        best = sums.argmax(axis=0)
-        posterior = 1 / np.exp(sums - sums.max(axis=0)).sum(axis=0)
-        named = [self.languages[b] if ok else "und" for b, ok in zip(best, has_letter)]
-        return named, np.where(has_letter, posterior, 0.0)
+        sums = np.stack([np.bincount(owners, row[buckets], len(texts)) for row in self.log_prob]) + self.log_prior[:, None]
+        return sums, has_letter
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", plan: Plan = Plan()) -> Model:
-    """Learn from every row whose language is not null."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", plan: Plan = Plan()) -> list[Model]:
+    """Learn from every row whose language is not null; blocks of languages in their order."""
     labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,40 +113,56 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", plan: Plan =
             yield pa.RecordBatch.from_arrays(columns, ["lang", "cell", "n"])
 
     cells = labelled.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    found = cells.limit(plan.languages * (plan.buckets + 1) + 1).toPandas()
-    names = sorted(found["lang"].unique())
-    if len(names) > plan.languages:
-        raise ValueError(f"more than {plan.languages} languages; raise Plan.languages")
-    counts = np.zeros((len(names), plan.buckets + 1))
-    row = {name: i for i, name in enumerate(names)}
-    counts[found["lang"].map(row).to_numpy(dtype=int), found["cell"].to_numpy()] = found["n"]
-    grams, docs_of = counts[:, :-1] + plan.smoothing, counts[:, -1]
-    return Model(
-        tuple(names),
-        np.log(docs_of / docs_of.sum()) if len(names) else np.zeros(0),
-        np.log(grams / grams.sum(axis=1, keepdims=True)),
-        plan,
-    )
-
-
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(key, text)
+    scratch = Scratch(docs.sparkSession, "language")
+    cells = scratch.table(cells, "cells")
+    sizes = cells.filter(F.col("cell") == plan.buckets).select("lang", "n").orderBy("lang").collect()  # one row a language
+    total = float(sum(r["n"] for r in sizes))
+    models = []
+    for start in range(0, len(sizes), plan.languages):
+        block = sizes[start : start + plan.languages]
+        names, row = [r["lang"] for r in block], {r["lang"]: i for i, r in enumerate(block)}
+        found = cells.filter(F.col("lang").between(names[0], names[-1]) & (F.col("cell") < plan.buckets)).toPandas()
+        grams = np.full((len(names), plan.buckets), plan.smoothing)
+        grams[found["lang"].map(row).to_numpy(dtype=int), found["cell"].to_numpy()] += found["n"]
+        prior = np.log(np.array([r["n"] for r in block]) / total)
+        models.append(Model(tuple(names), prior, np.log(grams / grams.sum(axis=1, keepdims=True)), plan))
+    scratch.drop("cells")
+    return models
+
+
+def _passed(rows: DataFrame, model: Model) -> DataFrame:
+    """key, text, best, lang, total: after one block of languages; total is the log of the sum of all probabilities."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
-            for rows in slices(batch, text):
-                named, score = shared.value.score(rows.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(key), pa.array(named, pa.string()), pa.array(score)], [key, "lang_pred", "score"]
-                )
+            for part in slices(batch, "text"):
+                sums, has_letter = model.score(part.column("text").to_pylist())
+                best, total = (part.column(c).to_numpy(zero_copy_only=False) for c in ("best", "total"))
+                top, own = sums.max(axis=0), sums.argmax(axis=0)
+                higher = (top > best) & has_letter
+                langs = [model.languages[n] if up else old for n, up, old in zip(own, higher, part.column("lang").to_pylist())]
+                total = np.where(has_letter, np.logaddexp(total, np.logaddexp.reduce(sums, axis=0)), total)
+                out = [part.column("key"), part.column("text"), pa.array(np.where(higher, top, best)), pa.array(langs, pa.string()), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(out, ["key", "text", "best", "lang", "total"])
 
-    schema = T.StructType([chosen.schema[key], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return chosen.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.schema)
+
+
+def predict(docs: DataFrame, models: list[Model], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, lang_pred, score."""
+    none = F.lit(float("-inf"))
+    rows = docs.select(
+        F.col(key).alias("key"), F.col(text).alias("text"), none.alias("best"), F.lit("und").alias("lang"), none.alias("total")
+    )
+    for model in models:
+        rows = _passed(rows, model)
+    score = F.when(F.col("total") > none, F.exp(F.col("best") - F.col("total"))).otherwise(0.0)
+    return rows.select(F.col("key").alias(key), F.col("lang").alias("lang_pred"), F.least(score, F.lit(1.0)).alias("score"))
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", plan: Plan = Plan()) -> DataFrame:
     """Train on what is not held out; predict every document."""
-    model = train(docs.filter(~held_out(key)), text, lang, plan)
-    return predict(docs, model, key, text).select(key, held_out(key).alias("held_out"), "lang_pred", "score")
+    models = train(docs.filter(~held_out(key)), text, lang, plan)
+    return predict(docs, models, key, text).select(key, held_out(key).alias("held_out"), "lang_pred", "score")
