@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field.
 
 The field tags the blank-separated tokens of a text as begin, inside or outside of a secret. Features are the token's
-shape, the two tokens before and the one after, and the file's; the state before the first and after the last token is
-outside. It is fitted by maximum likelihood on the driver, on windows of a bounded sample of rows (``Plan.sample``),
-where the labels are the fixed patterns' matches and secrets of many forms that are planted there with a fixed seed.
+shape, the words before and after it (hashed into ``Plan.words``), the kinds of the two tokens before and the one after, and
+the file's; the state before the first and after the last token is outside. It is fitted by maximum likelihood on the
+driver, on windows of a bounded sample of rows (``Plan.sample``) with secrets, and things that look like them, of many
+forms planted with a fixed seed. Windows in which a fixed pattern matches are not used, so no label comes from those.
 
 Decoding is exact and cheap: if outside beats the other tags of a token by more than any transitions can make good, the
 best path has outside there. So Viterbi runs only over the stretches between such tokens. Scores of a token as itself
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -43,6 +45,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")  # the runs are maximal, so a shorter one ne
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 FIELD = "crf"
 
+_PROFILES = 50_000  # kinds of tokens whose sums a worker keeps
 _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'`,;:()[]{}<>"
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
@@ -55,7 +58,8 @@ class Plan:
     rounds: int = 120
     rate: float = 0.15
     penalty: float = 1e-3
-    table: int = 300_000  #: entries of a worker's table of tokens
+    table: int = 200_000  #: entries of a worker's table of tokens
+    words: int = 1 << 12  #: hash values of neighbouring words
     seed: int = 7
     mark: str = "[SECRET]"
 
@@ -168,6 +172,12 @@ def file_features(text: str) -> list[int]:
     return [n for n, yes in enumerate((_is_keyword(lowered), signs * 100 > len(text), len(text) < 400)) if yes]
 
 
+def bucket(token: str, plan: Plan) -> int:
+    """The hash value of a word; 0 of all that is no word."""
+    core = token.strip(_EDGE + ".!?=").lower()
+    return 1 + zlib.crc32(core.encode()) % (plan.words - 1) if core.isalpha() and len(core) < 32 else 0
+
+
 # --- the field --------------------------------------------------------------------------------------------------------
 
 
@@ -175,6 +185,7 @@ def file_features(text: str) -> list[int]:
 class Field:
     weights: np.ndarray  #: features × tags
     moves: np.ndarray  #: tag before × tag
+    words: np.ndarray  #: (before, after) × hash values and none × tags
 
     @property
     def slack(self) -> float:
@@ -256,37 +267,34 @@ def _planted(rng: random.Random) -> tuple[list[str], list[int]]:
         body = [draw(letters + "+/", 64) for _ in range(rng.randint(1, 3))]
         tokens = ["-----BEGIN", "PRIVATE", "KEY-----", *body, "-----END", "PRIVATE", "KEY-----"]
         return tokens, [BEGIN, *[INSIDE] * (len(tokens) - 1)]
+    lower, digits = letters[26:52], "0123456789"
+    word = lambda a, b: draw(lower, rng.randint(a, b))
+    user = rng.choice([word(3, 9), f"{word(2, 7)}.{word(3, 9)}", f"{word(4, 10)}{rng.randint(1, 9999)}", f"{word(3, 6)}_{word(3, 6)}{draw(digits, 2)}", f"{word(3, 6)}+{word(3, 5)}"])
+    end = rng.choice(["com", "org", "net", "example", "test", "io", "de", "co.uk"])
     harmless = [
-        draw("0123456789", 16),
-        f"+{rng.randint(1, 9)}",
-        f"{draw('0123456789', 3)}-{draw('0123456789', 4)}",
+        draw(digits, rng.randint(4, 16)),
+        f"+{rng.randint(1, 99)}-{draw(digits, 3)}-{draw(digits, rng.randint(4, 7))}",
+        f"({draw(digits, 3)})",
+        f"{draw(digits, 3)}-{draw(digits, rng.choice((2, 4)))}-{draw(digits, 4)}",
         ".".join(str(rng.randint(0, 255)) for _ in range(4)),
-        f"{draw(letters.lower()[:26], 7)}@{draw(letters.lower()[:26], 6)}.org",
-        f"https://www.{draw(letters.lower()[:26], 9)}.com/{draw(letters.lower()[:26], 8)}/{rng.randint(1, 999)}",
+        f"{user}@{word(4, 10)}.{end}",
+        f"{user}@{word(3, 6)}.{word(4, 8)}.{end}{rng.choice(['', '.', ',', ';'])}",
+        f"https://www.{word(4, 9)}.{end}/{word(4, 9)}/{rng.randint(1, 9999)}?{word(1, 4)}={rng.randint(1, 99)}",
+        f"http://{word(4, 9)}.{end}/{word(3, 8)}-{word(3, 8)}.html",
         f"v{rng.randint(0, 9)}.{rng.randint(0, 30)}.{rng.randint(0, 9)}",
-        f"20{rng.randint(10, 29)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}",
+        f"20{rng.randint(10, 29)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{draw(digits, 2)}:{draw(digits, 2)}",
         draw("abcdefghijklmnoprstu", rng.randint(16, 28)),
+        word(3, 8) * rng.randint(2, 5),
+        f"{word(2, 8)}{rng.choice('#*$%&|<>.-_')}{rng.choice('#*$%&|<>.-_') * rng.randint(2, 12)}",
+        f"/{word(3, 7)}/{word(3, 9)}/{word(3, 9)}.{rng.choice(['py', 'txt', 'conf'])}",
+        f"{word(3, 8)}_{word(3, 8)}_{word(2, 6)}({word(1, 4)})",
+        word(4, 8) + word(3, 8).title() + word(3, 8).title() + rng.choice(["", str(rng.randint(1, 99))]),
+        f"{word(2, 4).upper()}-{draw(digits, 4)}-{draw(digits, 4)}",
         f"{key}s",
     ]
     return [rng.choice(harmless)], [OUTSIDE]
 
 
-def _labelled(tokens: list[str]) -> list[int]:
-    """Tags by the fixed patterns, of tokens joined by blanks."""
-    text, tags, at = " ".join(tokens), [], 0
-    spans = [
-        (m.start(2) if kind == "assign" else start, end)
-        for kind, start, end in base_spans(text)
-        for m in [_ASSIGN.match(text, start)]
-        if kind != "hex" or not text[start:end].isdigit()
-    ]
-    for token in tokens:
-        end = at + len(token)
-        tags.append(BEGIN if any(a < end and at < b for a, b in spans) else OUTSIDE)
-        at = end + 1
-    return tags
-
-
 def _row(features: np.ndarray, tokens: list[str], t: int, file: list[int]) -> None:
     features[shape(tokens[t])] = 1
     start = len(_SHAPES)
@@ -298,19 +306,23 @@ def _row(features: np.ndarray, tokens: list[str], t: int, file: list[int]) -> No
 
 
 def fit(windows: list[tuple[list[str], list[int]]], plan: Plan = Plan()) -> Field:
-    """windows: tokens and file features. Half of them get something planted."""
+    """windows: tokens and file features, all outside of secrets. Two of three get something planted."""
     rng = random.Random(plan.seed)
     x = np.zeros((len(windows), plan.window, _WIDTH), np.float32)
     y = np.zeros((len(windows), plan.window), np.int64)
+    none = plan.words  # of a neighbour that isn't there
+    near_ = np.full((2, len(windows), plan.window), none)
     for n, (tokens, file) in enumerate(windows):
         tokens = (tokens * plan.window)[: plan.window] if tokens else ["a"] * plan.window
-        tags = _labelled(tokens)
-        if n % 2:
+        tags = [OUTSIDE] * plan.window
+        if n % 3:
             fresh, fresh_tags = _planted(rng)
             at = rng.randint(0, plan.window - 1)
             tokens = (tokens[:at] + fresh + tokens[at:])[: plan.window]
             tags = (tags[:at] + fresh_tags + tags[at:])[: plan.window]
         y[n] = tags
+        buckets = [bucket(t, plan) for t in tokens]
+        near_[0, n, 1:], near_[1, n, :-1] = buckets[:-1], buckets[1:]
         for t in range(plan.window):
             _row(x[n, t], tokens, t, file)
     onehot = np.eye(3)[y]
@@ -318,13 +330,17 @@ def fit(windows: list[tuple[list[str], list[int]]], plan: Plan = Plan()) -> Fiel
     seen_moves = np.zeros((3, 3))
     bounded = np.pad(y, ((0, 0), (1, 1)))
     np.add.at(seen_moves, (bounded[:, :-1].ravel(), bounded[:, 1:].ravel()), 1)
-    params = [np.zeros((_WIDTH, 3)), np.zeros((3, 3))]
+    params = [np.zeros((_WIDTH, 3)), np.zeros((3, 3)), np.zeros((2, plan.words + 1, 3))]
     slopes = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     flat = x.reshape(-1, _WIDTH)
+    sides = near_.reshape(2, -1)
     for step in range(1, plan.rounds + 1):
-        tags, moves, _ = _expectations((flat @ params[0]).reshape(*y.shape, 3), params[1])
-        expected = flat.T @ tags.reshape(-1, 3)
-        for p, s, grad in zip(params, slopes, (seen - expected, seen_moves - moves)):
+        scores = flat @ params[0] + params[2][0][sides[0]] + params[2][1][sides[1]]
+        tags, moves, _ = _expectations(scores.reshape(*y.shape, 3), params[1])
+        left = (onehot - tags).reshape(-1, 3)
+        of_words = np.stack([np.stack([np.bincount(side, left[:, k], none + 1) for k in range(3)], axis=1) for side in sides])
+        of_words[:, none] = 0
+        for p, s, grad in zip(params, slopes, (seen - flat.T @ tags.reshape(-1, 3), seen_moves - moves, of_words)):
             grad = grad / len(windows) - plan.penalty * p
             s[0], s[1] = 0.9 * s[0] + 0.1 * grad, 0.99 * s[1] + 0.01 * grad**2
             p += plan.rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.99**step)) + 1e-8)
@@ -338,25 +354,35 @@ class Tagger:
         self.field, self.plan = field, plan
         self.shape, self.before, self.before2, self.after, self.file = field.parts()
         self.slack = field.slack
-        self.numbers: dict[str, int] = {}
-        self.profiles: dict[tuple, int] = {}  # tokens with the same features share a row
-        self.rows = np.zeros((0, 12))
+        self.numbers: dict[str, int] = {}  # short tokens; bounded in entries and so in bytes
+        self.profiles: dict[tuple, np.ndarray] = {}  # what tokens with the same features share
+        self.rows, self.used = np.zeros((1 << 14, 12), np.float32), 0
 
     def _number(self, token: str) -> int:
         own, beside = shape(token), near(token)
         profile = (*own, -1, *beside)
-        number = self.profiles.get(profile)
-        if number is None:
-            number = self.profiles[profile] = len(self.rows)
+        shared = self.profiles.get(profile)
+        if shared is None:
+            if len(self.profiles) >= _PROFILES:
+                self.profiles.clear()
             parts = (self.shape[own], self.before[beside], self.before2[beside], self.after[beside])
-            self.rows = np.vstack([self.rows, np.concatenate([p.sum(axis=0) for p in parts])])
-        self.numbers[token] = number
+            shared = self.profiles[profile] = np.concatenate([p.sum(axis=0) for p in parts])
+        if self.used == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        number, self.used = self.used, self.used + 1
+        row, hashed = self.rows[number], bucket(token, self.plan)
+        row[:] = shared
+        row[3:6] += self.field.words[0, hashed]
+        row[9:12] += self.field.words[1, hashed]
+        if len(token) < 64:
+            self.numbers[token] = number
         return number
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """(start, end) of the secrets of each text, in code points."""
-        if len(self.numbers) > self.plan.table:
+        if self.used > self.plan.table:
             self.numbers.clear()
+            self.rows, self.used = np.zeros((1 << 14, 12), np.float32), 0
         get, new = self.numbers.get, self._number
         pieces = [text.split() for text in texts]
         pad = new("") if get("") is None else get("")
@@ -372,7 +398,7 @@ class Tagger:
         starts = np.cumsum(lengths + 2) - lengths - 2
         real = np.ones(len(ids), bool)
         real[starts + lengths] = real[starts + lengths + 1] = False
-        rows = self.rows[ids]
+        rows = self.rows[ids].astype(float)
         rows[~real, 3:] = 0
         scores = rows[:, :3].copy()
         scores[1:] += rows[:-1, 3:6]
@@ -423,7 +449,8 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, int
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan = Plan()) -> Field:
-    """Fit on windows of about ``plan.sample`` rows that a hash chooses; the order of rows has no influence."""
+    """Fit on windows of about ``plan.sample`` rows that a hash chooses; the order of rows has no influence. A window has
+    a bounded number of tokens, of which the driver gets 200 characters at most."""
     total = docs.count()
     chosen = docs.select(F.xxhash64(F.lit(plan.seed), F.col(key), F.col(text)).alias("draw"), F.col(text).alias("text"))
     every = max(1, total // plan.sample)
@@ -434,11 +461,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan =
             draws, tokens, files = [], [], []
             for draw, value in zip(batch.column("draw").to_pylist(), batch.column("text").to_pylist()):
                 words = (value or "").split()
-                if words:
-                    base = base_spans(value)
-                    at = len(value[: base[0][1]].split()) - plan.window // 2 if base else draw % len(words)
-                    at = max(0, min(at, len(words) - plan.window))
-                    draws.append(draw), tokens.append(words[at : at + plan.window]), files.append(file_features(value))
+                at = max(0, min(draw % max(1, len(words)), len(words) - plan.window))
+                cut_ = [w[:200] for w in words[at : at + plan.window]]
+                if words and not base_spans(" ".join(words[max(0, at - 2) : at + plan.window + 2])):
+                    draws.append(draw), tokens.append(cut_), files.append(file_features(value))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(draws, pa.int64()), pa.array(tokens, pa.list_(pa.string())), pa.array(files, pa.list_(pa.int32()))],
                 ["draw", "tokens", "file"],
