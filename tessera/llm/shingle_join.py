@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, as_bytes, slices
-from tessera.operators.components import connected_components
+from tessera.llm.common import Scratch, as_bytes, mixed, slices
+from tessera.operators.components import connected_components, looked_up
 
 
 @dataclass(frozen=True)
@@ -51,13 +51,6 @@ class Plan:
     table: int = 200_000  #: entries of a worker's table of word hashes
 
 
-def _mixed(values: np.ndarray) -> np.ndarray:
-    """A bijection of uint64 that spreads all bits (splitmix64's finish)."""
-    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
-
-
 class _Words(dict):
     """Word → 64-bit hash, emptied when full."""
 
@@ -88,7 +81,7 @@ def shingles(text: bytes | None, plan: Plan = Plan()) -> np.ndarray:
     count = len(words) - width + 1
     runs = np.full(count, width, np.uint64)
     for n in range(width):
-        runs = _mixed(runs * np.uint64(0x9E3779B97F4A7C15) + hashes[n : n + count])
+        runs = mixed(runs * np.uint64(0x9E3779B97F4A7C15) + hashes[n : n + count])
     return np.unique(runs)
 
 
@@ -119,13 +112,13 @@ def signatures(elements: np.ndarray, plan: Plan = Plan()) -> np.ndarray:
         segments = differ + 2 + differ // 16
         segment = ((elements >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
         firsts = np.flatnonzero(np.diff(segment, prepend=segment[:1] + np.uint64(1)))  # the elements are sorted
-        sums = np.add.reduceat(_mixed(elements), firsts)
+        sums = np.add.reduceat(mixed(elements), firsts)
         numbers = segment[firsts]
         if segments - len(numbers) >= segments - differ:
             empty = np.setdiff1d(np.arange(segments, dtype=np.uint64), numbers)
             numbers, sums = np.append(numbers, empty), np.append(sums, np.zeros(len(empty), np.uint64))
         place = numbers * np.uint64(1 << 16) + np.uint64(label)
-        found.append(_mixed(sums + _mixed(place + np.uint64(0x632BE59BD9B4E019))))
+        found.append(mixed(sums + mixed(place + np.uint64(0x632BE59BD9B4E019))))
     return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
 
 
@@ -367,11 +360,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan =
     chosen = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     classes = scratch.table(_classes(chosen, plan), "classes")
     parts = connected_components(links(chosen, classes, plan, scratch))
-    named = classes.join(parts, F.col("cls") == F.col("node"), "left").select(
-        "key", "n", F.coalesce("component", "cls").alias("part")
-    )
-    heads = named.filter("part IS NOT NULL").groupBy(F.col("part").alias("head_part")).agg(F.min("key").alias("head"))
-    joined = named.join(heads, F.col("part") == F.col("head_part"), "left")
+    full = looked_up(classes.filter("cls IS NOT NULL"), "cls", parts, "node", "left")
+    named = scratch.table(full.select("key", "n", F.coalesce("component", "cls").alias("part")), "named")
+    heads = named.groupBy(F.col("part").alias("head_part")).agg(F.min("key").alias("head"))
+    joined = looked_up(named, "part", heads, "head_part").select("key", "n", "head")
+    joined = joined.unionByName(classes.filter("cls IS NULL").select("key", "n", F.col("key").alias("head")))
     component = F.when(F.col("key").isNotNull(), F.coalesce("head", "key"))
     return joined.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
