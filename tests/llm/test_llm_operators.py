@@ -133,41 +133,76 @@ def test_quality_finds_junk_in_chunks(alphabet, clean, junk):
     assert half["n_chunks"] == -(-(clean + junk) // 4096) and half["bad_chunks"] >= junk // 4096
 
 
+def test_quality_bands_follow_the_corpus(spark):
+    rng = random.Random(12)
+    data = [(n, prose(rng, rng.randint(150, 400)), 0) for n in range(4000)]
+    for n in range(4000, 4400):  # random hex among prose, or two fifths said again: the base rule lets both pass
+        words = prose(rng, rng.randint(100, 250)).split()
+        more = random_words(rng, HEX, 6 * len(words) // 2).split() if n % 2 else words[: 2 * len(words) // 5]
+        data.append((n, " ".join(words + more), 1))
+    data += [(5000, None, 0), (5001, "", 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, junk int").repartition(5)
+    plain, packer = quality.Bands(), quality.zstandard.ZstdCompressor(level=3, write_checksum=False)
+    bands = quality.fit(docs)
+    ratios = {}
+    for _, text, _ in data:
+        raw = (text or "").encode()
+        if raw and not dict(zip(quality.VERDICT.names, quality.measure(text, plain, packer)))["base_failed"]:
+            ratios.setdefault(int(math.log2(len(raw)) * 4), []).append(int(1000 * len(packer.compress(raw)) / len(raw)))
+    for tier, found in ratios.items():
+        size = math.ceil(2 ** (tier / 4))
+        _, low, high = [t for t in bands.limits if t[0] <= size][-1]
+        if len(found) >= 300:
+            middle = np.percentile(found, 50, method="inverted_cdf")
+            spread = 1.4826 * max(1, np.percentile(np.abs(np.array(found) - middle), 50, method="inverted_cdf"))
+            assert (low, high) == pytest.approx(((middle - 3.5 * spread) / 1000, (middle + 4.5 * spread) / 1000))
+        else:
+            assert (low, high) == [t for t in plain.limits if t[0] <= size][-1][1:]
+    kept = {r.doc_id for r in quality.judge(docs).filter("kept").collect()}
+    assert kept == {r.doc_id for r in quality.keep(docs).collect()}
+    clean = [k for k, _, junk in data if not junk and k < 5000]
+    assert len(kept & set(clean)) > 0.985 * len(clean)
+    assert len(kept & set(range(4000, 4400))) < 0.1 * 400
+
+
 # --- 2 ---
 
 
 def brute_topk(vectors, is_query, k=5):
     best = {}
-    for q, v in vectors.items():
-        if is_query(q):
-            scores = [(int(np.dot(v[: len(w)], w[: len(v)])), o) for o, w in vectors.items() if o != q]
-            best[q] = [(s, o) for s, o in sorted(scores, key=lambda e: (-e[0], e[1]))[:k]]
+    for q in {q for q, _ in vectors if is_query(q)}:
+        v = min((v.tolist() for o, v in vectors if o == q))
+        scores = [(sum(int(a) * int(b) for a, b in zip(v, w)), o) for o, w in vectors if o != q]
+        best[q] = [(s, o) for s, o in sorted(scores, key=lambda e: (-e[0], e[1]))[:k]]
     return best
 
 
-@pytest.mark.parametrize("tree,page", [(64, 4), (1000, 16)])
-def test_mtree_is_exact(spark, tree, page):
+@pytest.mark.parametrize("tree,page,pivots,scale", [(64, 4, 3, 1), (1000, 16, 256, 1), (20, 4, 256, 1), (64, 4, 256, 2.0**19)])
+def test_mtree_is_exact(spark, tree, page, pivots, scale):
     rng = np.random.default_rng(1)
-    data = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
+    data = [(i, [float(x) for x in rng.normal(size=6) * scale]) for i in range(300)]
     data += [(300 + i, [1.0] * 6) for i in range(40)]  # one vector many times: ties
     data += [(400, None), (401, [1.0, None]), (402, [float("nan")] + [0.0] * 5), (403, [float("inf")] * 6), (404, []), (350, [1.0, 2.0])]
-    data += [data[0], (None, [1.0] * 6)]
+    data += [data[0], (None, [1.0] * 6), (350, [0.5, 2.0])]
     df = spark.createDataFrame([(i, v, 1) for i, v in data], "vec_id long, embedding array<double>, score int").repartition(5)
-    plan = mtree.Plan(tree=tree, page=page, block=7)
-    vectors = {i: np.floor(256 * np.array(v)) for i, v in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    plan = mtree.Plan(tree=tree, page=page, pivots=pivots, sample=50)
+    fine = [(i, np.floor(256 * np.array(v))) for i, v in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     found = {}
     for r in mtree.search(df, F.col("vec_id") % 10 == 0, plan=plan).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append((r.score, r.vec_id))
-    assert found == brute_topk(vectors, lambda q: q % 10 == 0)
+    assert found == brute_topk(fine, lambda q: q % 10 == 0)
     assert mtree.search(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
-def test_mtree_prunes():
+def test_mtree_prunes_clustered_vectors():
     rng = np.random.default_rng(2)
-    vectors = np.floor(np.concatenate([c + rng.normal(size=(400, 2)) for c in (0, 4000, 9000)]) * 10)
-    tree = mtree.MTree(np.arange(1200), vectors, 16)
-    assert tree.nearest(-1, vectors[5], 1)[0][0] == int((vectors @ vectors[5]).max())
-    assert all(n.radii.min() >= 0 for n in [tree.root])
+    centres = rng.normal(size=(40, 16)) * 100
+    vectors = np.floor(np.concatenate([c + rng.normal(size=(50, 16)) for c in centres]) * 10)
+    tree = mtree.MTree(np.arange(len(vectors)), vectors, 16)
+    for q in range(0, 2000, 100):
+        scores = sorted(((int(v @ vectors[q]), -n) for n, v in enumerate(vectors) if n != q), reverse=True)[:5]
+        assert tree.nearest(q, vectors[q], 5) == [(s, -n) for s, n in scores]
+    assert tree.computed / 20 < 0.5 * len(vectors)
 
 
 # --- 3 ---
@@ -197,6 +232,15 @@ def test_license_survives_an_inserted_word(spark):
     assert licenses.scan(df).first().labels == "apache-2.0"
 
 
+def test_license_templates_keep_their_order(spark):
+    words = licenses.TEMPLATES[15][1].split()
+    shuffled = [" ".join(words[n : n + 6]) for n in range(0, len(words), 6)]
+    random.Random(1).shuffle(shuffled)
+    texts = [" ".join(words), "Copyright X. " + ", ".join(words[:100]) + ".", " ".join(shuffled)]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in found] == ["mit", "mit", ""] and found[0].score == 1.0
+
+
 # --- 4 ---
 
 
@@ -232,6 +276,17 @@ def test_mixing_of_nothing(empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(docs):
+    names = ["mix_class", "mix_cdf", "mix_parts", "mix_docs", "doc", "ident", "class", "draws", "n_copies"]
+    more = docs.select("*", *[F.lit(n).alias(name) for n, name in enumerate(names)]).drop("n_copies")
+    more = more.withColumn("n_copies", F.lit(-1))
+    got = mixing.mix(more, total=60)
+    kept = [n for n in more.columns if n != "n_copies"]
+    assert got.columns == [*kept, "n_copies", "copy_no", "shuffle_key"]
+    assert [(f.name, f.dataType) for f in got.schema][: len(kept)] == [(f.name, f.dataType) for f in more.schema if f.name in kept]
+    assert {tuple(r[n] for n in names[:8]) for r in got.collect()} == {tuple(range(8))} and got.filter("n_copies < 1").count() == 0
+
+
 # --- 5 ---
 
 
@@ -250,6 +305,57 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for rs in found.values() for r in rs)
 
 
+def brute_bayes(data, plan):
+    """(language, posterior) of each text, by dictionaries."""
+    wrap = (1 << 64) - 1
+
+    def grams(text):
+        fold = [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 0 for c in text or ""]
+        found = Counter()
+        for n in range(1, plan.order + 1):
+            padded = [0] * (n - 1) + fold + [0] * (n - 1)
+            for at in range(len(padded) - n + 1):
+                if any(padded[at : at + n]):
+                    h = 0
+                    for code in padded[at : at + n]:
+                        h = (h * 0x9E3779B97F4A7C15 + code) & wrap
+                    found[(((h + n) * 0xD6E8FEB86659FD93 & wrap) >> 40) % plan.buckets] += 1
+        return found
+
+    sums, docs_of = {}, Counter()
+    for key, text, lang in data:
+        if lang is not None and zlib.crc32(b"" if key is None else str(key).encode()) % 4 != 2:
+            sums.setdefault(lang, Counter()).update(grams(text))
+            docs_of[lang] += 1
+    out = []
+    for key, text, _ in data:
+        own, logs = grams(text), {}
+        for lang, counts in sums.items():
+            whole = sum(counts.values()) + plan.smoothing * plan.buckets
+            logs[lang] = math.log(docs_of[lang] / sum(docs_of.values())) + sum(n * math.log((counts[g] + plan.smoothing) / whole) for g, n in own.items())
+        if not own or not logs:
+            out.append(("und", 0.0))
+            continue
+        top = max(logs.values())
+        best = min(lang for lang, x in logs.items() if x == top)
+        out.append((best, 1 / sum(math.exp(x - top) for x in logs.values())))
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 2, 1000])
+def test_language_by_brute_force(spark, block):
+    rng = random.Random(block)
+    words = {"aa": "kato mira selu Ünd".split(), "bb": "çogr ñand kato mira".split(), "cc": "the fox mira and".split(), "dd": "the fox mira and".split()}
+    data = [(i, prose(rng, rng.randint(1, 6), words[lang]), lang) for i in range(60) for lang in [rng.choice(list(words))]]
+    data += [(100, None, "aa"), (101, "", None), (102, "12 !", "cc"), (None, "the kato", None), (103, "x", None), data[0], (104, "mira", None)]
+    plan = language.Plan(buckets=512, languages=block)
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    found = by_key(language.identify(df, plan=plan))
+    for (key, *_), (lang, score) in zip(data, brute_bayes(data, plan)):
+        for r in found[key]:
+            assert (r.lang_pred, r.score) == (lang, pytest.approx(score, abs=1e-9)), key
+
+
 def test_language_without_training_rows(empty, docs):
     assert language.identify(empty).count() == 0
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
@@ -315,7 +421,7 @@ def brute_spans(text):
 @pytest.fixture(scope="module")
 def field():
     rng = random.Random(4)
-    return secrets.fit([(prose(rng, 24).split(), []) for _ in range(400)], secrets.Plan(rounds=60))
+    return secrets.fit([(prose(rng, 24).split(), []) for _ in range(2000)], secrets.Plan(rounds=100))
 
 
 def test_secrets_base_by_brute_force(docs, empty, field):
@@ -340,7 +446,10 @@ def test_secrets_field_decodes_exactly(field):
         row = np.zeros((len(tokens), secrets._WIDTH))
         for t in range(len(tokens)):
             secrets._row(row[t], tokens, t, secrets.file_features(" ".join(tokens)))
-        tags = secrets.viterbi(row @ field.weights, field.moves)
+        scores, hashed = row @ field.weights, [secrets.bucket(t, secrets.Plan()) for t in tokens]
+        scores[1:] += field.words[0][hashed[:-1]]
+        scores[:-1] += field.words[1][hashed[1:]]
+        tags = secrets.viterbi(scores, field.moves)
         spans = tagger.spans([" ".join(tokens)])[0]
         starts = np.cumsum([0] + [len(t) + 1 for t in tokens])
         inside = {t for t in range(len(tokens)) for a, b in spans if a < starts[t + 1] - 1 and starts[t] < b}
@@ -348,18 +457,43 @@ def test_secrets_field_decodes_exactly(field):
         assert wanted <= inside
 
 
-def test_secrets_field_finds_planted(field):
+def other_secrets(rng):
+    """Written apart from what the field is fitted on; no fixed pattern matches them."""
+    draw = lambda chars, n: "".join(rng.choices(chars, k=n))
+    mixed = BASE64[:-2]
+    return rng.choice([
+        f"the vault phrase is {draw(mixed, 26)} so keep it",
+        f"export GH={'github_pat_' + draw(mixed, 40)} ; run",
+        f"use xoxb-{draw('0123456789', 11)}-{draw(mixed, 24)} for the bot",
+        f"curl -H Authorization: Bearer {draw(mixed, 36)} now",
+        f"key is AIza{draw(mixed + '-_', 35)} here",
+        f"glpat-{draw(mixed, 20)}",
+        f"npm_{draw(mixed, 36)} was leaked",
+    ])
+
+
+def other_harmless(rng):
+    word = lambda n: "".join(rng.choices(LETTERS, k=n))
+    return rng.choice([
+        f"mail {word(5)}.{word(7)}{rng.randint(1, 999)}@{word(8)}.com today", f"see https://{word(8)}.org/{word(6)}/{word(9)}-{rng.randint(1, 9)} for more",
+        f"call +{rng.randint(1, 99)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}", f"on 2031-0{rng.randint(1, 9)}-1{rng.randint(0, 9)} at noon",
+        f"{word(18)}ness and {word(14)}-{word(12)}", f"the file /{word(4)}/{word(6)}/{word(7)}.txt is gone", f"{word(5).upper()} {word(7).title()} Ltd.",
+    ])
+
+
+def test_secrets_field_finds_other_forms_and_leaves_the_harmless(field):
     rng = random.Random(8)
-    tagger, hit, total = secrets.Tagger(field, secrets.Plan()), 0, 0
-    for _ in range(200):
-        fresh, tags = secrets._planted(rng)
-        if secrets.BEGIN in tags:
-            words = prose(rng, 30).split()
-            text = " ".join(words[:15] + fresh + words[15:])
-            start = len(" ".join(words[:15])) + 1
-            total += 1
-            hit += any(a < start + len(" ".join(fresh)) and b > start for spans in secrets.all_spans([text], tagger) for _, a, b in spans)
-    assert hit / total > 0.9
+    tagger = secrets.Tagger(field, secrets.Plan())
+    found = {}
+    for make in (other_secrets, other_harmless):
+        texts = [" ".join([prose(rng, 15), make(rng), prose(rng, 15)]) for _ in range(200)]
+        assert not any(brute_spans(t) for t in texts) or make is other_secrets
+        found[make] = sum(any(kind == secrets.FIELD for kind, *_ in spans) for spans in secrets.all_spans(texts, tagger)) / 200
+    assert found[other_secrets] > 0.8 and found[other_harmless] < 0.02, found
+
+
+def test_secrets_field_hears_neighbouring_words(field):
+    assert np.abs(field.words[:, :-1]).max() > 0.05 and not field.words[:, -1].any()
 
 
 def test_redaction_leaves_no_base_span(docs, field):
@@ -372,11 +506,12 @@ def test_redaction_leaves_no_base_span(docs, field):
 
 
 def test_pitman_yor_base_by_brute_force(docs, empty):
-    found = by_key(pitman_yor.score(docs, plan=pitman_yor.Plan(classes=5, head=12, shard=20, partial=10)))
+    found = by_key(pitman_yor.score(docs, plan=pitman_yor.Plan(head=12, sample=3, bucket=400, group=300, partial=3, sweeps=2, slice_bytes=3000)))
     split = lambda t: (t or "").encode().lower().split() + [b""]
     held = lambda k: zlib.crc32(b"" if k is None else str(k).encode()) % 10 == 0
     c = Counter(w for key, text, *_ in rows() if not held(key) for w in split(text))
     total, distinct = sum(c.values()), len(c)
+    assert sum(map(len, found.values())) == len(rows())
     for key, text, *_ in rows():
         words = split(text)
         base = sum(math.log10((c[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in words)
@@ -384,16 +519,106 @@ def test_pitman_yor_base_by_brute_force(docs, empty):
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(key), len(words), sum(c[w] > 0 for w in words), total)
             assert r.base_score == pytest.approx(base, rel=1e-9) and math.isfinite(r.score) and r.score < 0
     assert pitman_yor.score(empty).count() == 0
-
-
-def test_pitman_yor_seatings_are_consistent():
-    rng = np.random.default_rng(1)
-    cells = np.unique(rng.integers(0, 40 * 30, 500))
-    tree = pitman_yor.Hierarchy(cells, rng.integers(1, 50, len(cells)), [np.zeros(40, np.int64)], 30, pitman_yor.Plan())
-    matrix = tree.sample()
-    assert np.allclose(matrix.sum(axis=1), 1) and (matrix > 0).all()
-    for level in tree.levels:
-        assert (np.bincount(level.cells, level.sizes, len(level.counts)) == level.counts).all() and (level.sizes > 0).all()
+    key = next(k for k in range(100) if held(k))
+    alone = docs.filter("doc_id IN (7, 8)").withColumn("doc_id", F.lit(key).cast("long"))
+    assert {(r.n_known, r.base_score, r.score) for r in pitman_yor.score(alone).collect()} == {(0, 0.0, 0.0)}
+
+
+def seen_model(spark, texts, plan):
+    """The model of a table, and its training pairs by brute force, as codes."""
+    df = spark.createDataFrame([(2 * i + 1, t) for i, t in enumerate(texts)], "key long, text string")
+    scratch = pitman_yor.Scratch(spark, "test")
+    layout = pitman_yor.layout_of(df, plan, scratch)
+    _, model = pitman_yor.fit(df, layout, plan, scratch)
+    pairs, seen = Counter(), {0}
+    for i, text in enumerate(texts):
+        if zlib.crc32(str(2 * i + 1).encode()) % 10:
+            codes = [0, *pitman_yor._codes(text.encode().split(), layout.numbers).tolist(), 0]
+            pairs.update(zip(codes, codes[1:]))
+            seen.update(codes)
+    return model, pairs, seen
+
+
+@pytest.mark.parametrize("bucket", [1 << 20, 60])
+def test_pitman_yor_probabilities_of_a_context_sum_to_one(spark, bucket):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abcdefgh", [8, 7, 6, 5, 4, 3, 2, 1], k=30)) for _ in range(40)]
+    plan = pitman_yor.Plan(bucket=bucket)
+    model, pairs, codes = seen_model(spark, texts, plan)
+    assert (model.layout.parts.max() > 1) == (bucket == 60)
+    known = sorted(codes)
+    parent = model.unigram(*(np.append(x[known], 0.0) for x in (model.tables, model.means)))  # unknown words as one event
+    assert parent.sum() == pytest.approx(1, abs=1e-9)
+    listed = np.array([[u, w] for u in known for w in [*known, 1 << 63]], np.uint64)
+    counts = np.array([pairs[int(u), int(w)] for u, w in listed])
+    which = {w: n for n, w in enumerate([*known, 1 << 63])}
+    sums = Counter()
+    home = model.layout.bucket(listed[:, 0], listed[:, 1])
+    for bucket in set(home.tolist()):
+        cells = pitman_yor.Cells(*listed[home == bucket].T, counts[home == bucket])
+        of = parent[[which[int(w)] for w in cells.words]]
+        found = pitman_yor.predicted(cells, model, of, plan, bucket)
+        assert (found > 0).all()
+        for context, p in zip(cells.contexts.tolist(), found.tolist()):
+            sums[context] += p
+    assert len(sums) == len(known) and all(total == pytest.approx(1, abs=1e-9) for total in sums.values())
+
+
+def brute_seatings(c, d):
+    """Generalised Stirling numbers by their recursion: ways to seat c customers at t tables, t from 0."""
+    ways = np.zeros(c + 2)
+    ways[0] = 1.0
+    for n in range(c):
+        ways = np.append(0.0, ways[:-1]) + (n - d * np.arange(c + 2)) * ways
+    return ways[: c + 1]
+
+
+def restaurant(d, a, customers, tables):
+    logs = sum(math.log(a + d * i) for i in range(1, tables)) - sum(math.log(a + i) for i in range(1, customers))
+    return logs
+
+
+def test_pitman_yor_gibbs_by_brute_force():
+    """One restaurant with three dishes: tables' joint distribution by enumeration."""
+    counts, parent, d, a = [4, 3, 2], [0.3, 0.05, 0.6], 0.4, 1.7
+    weights = {}
+    for t in itertools.product(*(range(1, c + 1) for c in counts)):
+        logs = restaurant(d, a, sum(counts), sum(t))
+        weights[t] = math.exp(logs + sum(math.log(brute_seatings(c, d)[k] * p**k) for c, k, p in zip(counts, t, parent)))
+    total = sum(weights.values())
+    level = pitman_yor.Level(np.repeat(np.arange(4000), 3), np.tile(counts, 4000), 4000, np.random.default_rng(7), d, a)
+    seen = Counter()
+    for sweep in range(25):
+        level.sweep(np.tile(parent, 4000))
+        if sweep >= 5:
+            seen.update(map(tuple, level.tables.reshape(-1, 3).tolist()))
+    for t, weight in weights.items():
+        assert seen[t] / 80_000 == pytest.approx(weight / total, abs=0.01)
+
+
+def test_pitman_yor_discount_and_strength_by_brute_force():
+    place, counts, tables = np.array([0, 0, 0, 1, 1, 2]), np.array([5, 1, 2, 9, 1, 150]), np.array([2, 1, 1, 3, 1, 9])
+    grid = pitman_yor.Level.GRID
+
+    def logs(d, a):
+        found = sum(restaurant(d, a, counts[place == p].sum(), tables[place == p].sum()) for p in range(3))
+        return found + sum(math.log(brute_seatings(c, d)[t]) for c, t in zip(counts, tables))
+
+    weights = np.exp([logs(d, 1.3) - logs(0.5, 1.3) for d in grid])
+    level = pitman_yor.Level(place, counts, 3, np.random.default_rng(3))
+    level.tables = tables
+    drawn, strengths = Counter(), []
+    for _ in range(1500):
+        level.strength = 1.3
+        level.resample()
+        drawn[level.discount] += 1
+        strengths.append((level.discount, level.strength))
+    for d, weight in zip(grid, weights / weights.sum()):
+        assert drawn[d] / 1500 == pytest.approx(weight, abs=0.05)
+    often = drawn.most_common(1)[0][0]
+    mine = [a for d, a in strengths if d == often]
+    odds = np.exp([logs(often, a) - logs(often, 1.0) for a in pitman_yor.Level.STRENGTHS])
+    assert np.mean(np.log(mine)) == pytest.approx((odds * np.log(pitman_yor.Level.STRENGTHS)).sum() / odds.sum(), abs=0.25)
 
 
 def brute_tables(c, rate, d):
@@ -417,8 +642,7 @@ def brute_tables(c, rate, d):
 @pytest.mark.parametrize("c,rate,d", [(3, 0.7, 0.5), (60, 12.0, 0.3), (300, 0.01, 0.7), (400, 60.0, 0.5), (129, 4000.0, 0.6)])
 def test_pitman_yor_sweep_seats_every_customer(monkeypatch, c, rate, d):
     rng = np.random.default_rng(2)
-    level = pitman_yor.Level(np.arange(3000), np.full(3000, c), 3000, 1.0, rng)
-    level.discount, level._small = d, level.small(d)
+    level = pitman_yor.Level(np.arange(3000), np.full(3000, c), 3000, rng, d)
     fixed = type("", (), {"gamma": lambda _, shape: np.full(len(shape), rate), "random": rng.random, "geometric": rng.geometric})
     monkeypatch.setattr(level, "rng", fixed())
     for _ in range(6):
@@ -430,7 +654,7 @@ def test_pitman_yor_sweep_seats_every_customer(monkeypatch, c, rate, d):
 
 def test_pitman_yor_frequent_cells_leave_their_start():
     counts = np.array([200_000] + [1] * 50 + [2] * 25)
-    level = pitman_yor.Level(np.zeros(len(counts), np.int64), counts, 1, 1.0, np.random.default_rng(3))
+    level = pitman_yor.Level(np.zeros(len(counts), np.int64), counts, 1, np.random.default_rng(3))
     start = level.tables[0]
     for _ in range(12):
         level.sweep(np.full(len(counts), 1e-6))  # so rare a dish in the parent seldom has more than one table
@@ -449,7 +673,7 @@ def test_pitman_yor_beats_the_base_on_held_out(spark):
 
     df = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
     sums = pitman_yor.score(df).filter("held_out").agg(F.sum("base_score"), F.sum("score")).first()
-    assert sums[1] > 0.8 * sums[0]
+    assert sums[1] > 0.6 * sums[0]
 
 
 # --- 9 ---
