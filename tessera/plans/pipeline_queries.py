@@ -208,24 +208,94 @@ def j3(d):
     return m.candidates(p.filter("k % 5 = 3"), known).select(F.col("l_k").alias("fresh"), F.col("r_k").alias("golden"))
 
 
-@query("m8_matches", None)
-def m8(d):
-    m = Matcher()
-    found = m.scored(m.pairs(people(d))).filter("is_match")
-    return found.select("l_record_id", "r_record_id", F.round("score", 6).alias("score"), "tier", "rule")
+#: Indel ratios of asked(x, y): rows of the table of common lengths, one character of the first text after the other.
+WALK_SQL = """walk AS (SELECT x, y, 0 AS i, list_transform(range(0, length(y) + 1), lambda j: 0) AS row FROM asked UNION ALL
+  SELECT x, y, i + 1, list_transform(range(1, length(y) + 2), lambda k: list_max(list_transform(range(0, k), lambda j: CASE WHEN j = 0 THEN 0
+    WHEN substr(x, i + 1, 1) = substr(y, j, 1) THEN row[j] + 1 ELSE row[j + 1] END))) FROM walk WHERE i < length(x)),
+scores AS (SELECT x, y, CASE WHEN length(x) + length(y) = 0 THEN 1.0 ELSE round_even(200.0::DOUBLE * row[length(y) + 1] / (length(x) + length(y)), 0) / 100 END AS score
+  FROM walk WHERE i = length(x)),
+"""
+
+SIMILAR_SQL = PEOPLE_SQL.replace("WITH people", "WITH RECURSIVE people") + """, names AS (SELECT DISTINCT full_name AS a, 'Ann Lee7' AS b FROM people),
+cut AS (SELECT a, b, list_filter(string_split_regex(lower(a), '[^0-9a-z]+'), lambda t: t <> '') AS ta,
+  list_filter(string_split_regex(lower(b), '[^0-9a-z]+'), lambda t: t <> '') AS tb FROM names),
+sets AS (SELECT *, list_sort(list_distinct(list_intersect(ta, tb))) AS common, list_sort(list_distinct(list_filter(ta, lambda t: NOT list_contains(tb, t)))) AS l,
+  list_sort(list_distinct(list_filter(tb, lambda t: NOT list_contains(ta, t)))) AS r FROM cut),
+joined AS (SELECT a, b, array_to_string(list_sort(ta), ' ') AS sa, array_to_string(list_sort(tb), ' ') AS sb, array_to_string(common, ' ') AS m,
+  array_to_string(list_concat(common, l), ' ') AS ml, array_to_string(list_concat(common, r), ' ') AS mr,
+  CASE WHEN length(a) <= length(b) THEN a ELSE b END AS short, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS long FROM sets),
+windows AS (SELECT a, b, short, substr(long, greatest(0, s) + 1, s + length(short) - greatest(0, s)) AS part FROM joined,
+  unnest(range(1 - length(short), length(long))) u(s)),
+asked AS (SELECT a AS x, b AS y FROM names UNION SELECT sa, sb FROM joined UNION SELECT ml, mr FROM joined UNION SELECT m, ml FROM joined
+  UNION SELECT m, mr FROM joined UNION SELECT short, part FROM windows),
+""" + WALK_SQL + """partials AS (SELECT a, b, CASE WHEN any_value(contains(long_, short)) THEN 1.0 ELSE max(score) END AS partial FROM (SELECT w.*, CASE WHEN length(a) <= length(b) THEN b ELSE a END
+  AS long_, score FROM windows w JOIN scores ON x = short AND y = part) GROUP BY a, b)
+"""
 
 
-@query("t3_similarities", None)
+@query("t3_similarities", SIMILAR_SQL + """SELECT p.k, i.score AS indel, s.score AS token_sort, greatest(t.score, CASE WHEN m <> '' THEN greatest(u.score, v.score) ELSE 0 END)
+  AS token_set, partial FROM people p JOIN joined j ON j.a = p.full_name JOIN scores i ON i.x = j.a AND i.y = j.b JOIN scores s ON s.x = sa AND s.y = sb
+  JOIN scores t ON t.x = ml AND t.y = mr JOIN scores u ON u.x = m AND u.y = ml JOIN scores v ON v.x = m AND v.y = mr JOIN partials q ON q.a = j.a""", domain=False)
 def t3(d):
     p = people(d).select("k", "full_name", F.lit("Ann Lee7").alias("other"))
     a, b = F.col("full_name"), F.col("other")
     return p.select(
         "k", similarity.indel_ratio(a, b).alias("indel"), similarity.token_sort_ratio(a, b).alias("token_sort"),
         similarity.token_set_ratio(a, b).alias("token_set"), similarity.partial_ratio(a, b).alias("partial"),
-        similarity.metaphone_code(a).alias("metaphone"),
     )
 
 
+@query("t6_sounds", None)
+def t6(d):
+    return people(d).select("k", similarity.metaphone_code(F.col("full_name")).alias("metaphone"), F.soundex("full_name").alias("soundex"))
+
+
+#: Pairs of one block with the parts of their scores; stems are the names' letters, which sound alike if they are equal.
+MATCH_SQL = PEOPLE_SQL.replace("WITH people", "WITH RECURSIVE people") + """, pairs AS (SELECT a.k AS ak, b.k AS bk, a.entity_type = 'company' AS firm, a.k % 2 = b.k % 2 AS one_source,
+  a.name AS an, b.name AS bn, lower(a.address) AS aa, lower(b.address) AS ba, a.company_number AS anum, b.company_number AS bnum, a.country = b.country AS one_country,
+  a.dob AS ad, b.dob AS bd FROM blocks a JOIN blocks b ON a.block_key = b.block_key AND a.entity_type = b.entity_type AND a.k < b.k
+  WHERE a.entity_type = 'person' OR a.k % 2 = b.k % 2 OR a.company_number = b.company_number),
+names AS (SELECT DISTINCT an, bn, string_split(an, ' ') AS wa, string_split(bn, ' ') AS wb, CASE WHEN length(an) <= length(bn) THEN an ELSE bn END AS short,
+  CASE WHEN length(an) <= length(bn) THEN bn ELSE an END AS long FROM pairs),
+windows AS (SELECT an, bn, short, long, substr(long, greatest(0, s) + 1, s + length(short) - greatest(0, s)) AS part FROM names, unnest(range(1 - length(short), length(long))) u(s)),
+places AS (SELECT DISTINCT aa, ba, list_sort(list_distinct(list_filter(string_split_regex(aa, '[^0-9a-z]+'), lambda t: t <> ''))) AS ta,
+  list_sort(list_distinct(list_filter(string_split_regex(ba, '[^0-9a-z]+'), lambda t: t <> ''))) AS tb FROM pairs WHERE aa IS NOT NULL AND ba IS NOT NULL),
+sets AS (SELECT aa, ba, array_to_string(list_filter(ta, lambda t: list_contains(tb, t)), ' ') AS m, array_to_string(list_concat(list_filter(ta, lambda t: list_contains(tb, t)),
+  list_filter(ta, lambda t: NOT list_contains(tb, t))), ' ') AS ml, array_to_string(list_concat(list_filter(ta, lambda t: list_contains(tb, t)),
+  list_filter(tb, lambda t: NOT list_contains(ta, t))), ' ') AS mr, trim(string_split(aa, ',')[-1]) AS ea, trim(string_split(ba, ',')[-1]) AS eb FROM places),
+asked AS (SELECT array_to_string(list_sort(wa), ' ') AS x, array_to_string(list_sort(wb), ' ') AS y FROM names UNION SELECT short, part FROM windows
+  UNION SELECT wa[1], wb[1] FROM names UNION SELECT wa[2], wb[2] FROM names UNION SELECT ml, mr FROM sets UNION SELECT m, ml FROM sets UNION SELECT m, mr FROM sets
+  UNION SELECT ea, eb FROM sets),
+""" + WALK_SQL + """partials AS (SELECT an, bn, CASE WHEN any_value(contains(long, short)) THEN 1.0 ELSE max(score) END AS partial FROM windows JOIN scores ON x = short AND y = part GROUP BY an, bn),
+named AS (SELECT n.an, n.bn, greatest(s.score, partial, ((CASE WHEN wa[1] = wb[1] THEN 1.0 WHEN f.score >= 0.85 THEN 0.9 ELSE 0.0 END) + (CASE WHEN wa[2] = wb[2] THEN 1.0
+  WHEN g.score >= 0.85 THEN 0.9 ELSE 0.0 END)) / 2, CASE WHEN regexp_replace(n.an, '[0-9]', '', 'g') = regexp_replace(n.bn, '[0-9]', '', 'g') THEN 0.9 ELSE 0.0 END)::DOUBLE AS sim
+  FROM names n JOIN scores s ON s.x = array_to_string(list_sort(wa), ' ') AND s.y = array_to_string(list_sort(wb), ' ') JOIN partials p ON p.an = n.an AND p.bn = n.bn
+  JOIN scores f ON f.x = wa[1] AND f.y = wb[1] JOIN scores g ON g.x = wa[2] AND g.y = wb[2]),
+placed AS (SELECT aa, ba, greatest(t.score, CASE WHEN m <> '' THEN greatest(u.score, v.score) ELSE 0 END) AS whole, e.score AS tail FROM sets
+  JOIN scores t ON t.x = ml AND t.y = mr JOIN scores u ON u.x = m AND u.y = ml JOIN scores v ON v.x = m AND v.y = mr JOIN scores e ON e.x = ea AND e.y = eb),
+parts AS (SELECT p.*, sim * 0.35::DOUBLE AS c_name, CASE WHEN ad IS NULL OR bd IS NULL THEN 0.0 WHEN ad = bd THEN 0.25 WHEN ad[:7] = bd[:7] THEN 0.7::DOUBLE * 0.25::DOUBLE
+  WHEN ad[:4] = bd[:4] THEN 0.3::DOUBLE * 0.25::DOUBLE ELSE 0.0 END::DOUBLE AS c_dob, CASE WHEN whole IS NULL THEN 0.0 WHEN whole > 0.8 THEN whole::DOUBLE * 0.15::DOUBLE
+  WHEN tail > 0.8 THEN 0.4::DOUBLE * 0.15::DOUBLE ELSE whole::DOUBLE * 0.5::DOUBLE * 0.15::DOUBLE END::DOUBLE AS c_address,
+  CASE WHEN firm AND anum = bnum THEN 0.15 ELSE 0.0 END::DOUBLE AS c_number, CASE WHEN one_country THEN 0.05 ELSE 0.0 END::DOUBLE AS c_country
+  FROM pairs p JOIN named USING (an, bn) LEFT JOIN placed USING (aa, ba)),
+judged AS (SELECT *, least(1.0::DOUBLE, c_name + c_dob + c_address + c_number + 0.0 + c_country) AS score, c_name / 0.35::DOUBLE AS name FROM parts),
+ruled AS (SELECT *, CASE WHEN firm AND NOT one_source AND c_number = 0 THEN NULL WHEN firm AND anum IS NOT NULL AND bnum IS NOT NULL AND c_number = 0 THEN NULL
+  WHEN firm AND c_number > 0 THEN 'HIGH:company_number' WHEN firm AND one_source AND name >= 0.92 AND c_address > 0 AND score >= 0.45 THEN 'HIGH:name_address'
+  WHEN firm AND one_source AND name >= 0.85 AND c_address > 0 AND score >= 0.38 THEN 'MEDIUM:name_address' WHEN firm THEN NULL
+  WHEN c_dob > 0 AND score >= 0.60 THEN 'HIGH:dob' WHEN name >= 0.95 AND c_address > 0 AND score >= 0.50 THEN 'HIGH:name_address'
+  WHEN name >= 0.85 AND c_address > 0 AND score >= 0.40 THEN 'MEDIUM:name_address' WHEN c_dob > 0 AND name >= 0.85 AND score >= 0.45 THEN 'MEDIUM:dob_name'
+  WHEN name >= 0.92 AND score >= 0.33 THEN 'MEDIUM:name' END AS verdict FROM judged)
+"""
+
+
+@query("m8_matches", MATCH_SQL + """SELECT 'R' || lpad(ak::VARCHAR, 9, '0') AS l_record_id, 'R' || lpad(bk::VARCHAR, 9, '0') AS r_record_id, round(score, 6) AS score,
+  string_split(verdict, ':')[1] AS tier, string_split(verdict, ':')[2] AS rule FROM ruled WHERE verdict IS NOT NULL""", domain=False)
+def m8(d):
+    m = Matcher()
+    found = m.scored(m.pairs(people(d))).filter("is_match")
+    return found.select("l_record_id", "r_record_id", F.round("score", 6).alias("score"), "tier", "rule")
+
+
 # --- clusters and golden records --------------------------------------------------------------------------------------
 
 RECORDS_SQL = """WITH records AS (SELECT o_orderkey AS k, 'O' || lpad(o_orderkey::VARCHAR, 9, '0') AS record_id, o_custkey AS cluster_id,

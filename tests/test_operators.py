@@ -8,7 +8,7 @@ from tessera.operators.components import connected_components
 from tessera.operators.contract import Contract, explode_boards, statistics
 from tessera.operators.enrich import enrich
 from tessera.operators.matching import Matcher
-from tessera.sources import readers, sinks
+from tessera.sources import generator, readers, sinks
 from tessera.streaming import upsert
 
 # An ownership graph with a chain, a fork and a ring.
@@ -182,3 +182,73 @@ def test_orphans_meet_all_golden_records(spark):
     golden_ = m.with_block(known).withColumn("golden_id", F.concat(F.lit("G"), "record_id"))
     met = {(r.l_record_id, r.r_record_id) for r in m.candidates(fresh, golden_).collect()}
     assert {b for a, b in met if a == "R20"} == {f"R{n}" for n in range(1, 9)} and {b for a, b in met if a == "R21"} == {"R4"}
+
+
+def test_csv_falls_back_by_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("full_name,dob\nZoë,1\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_bytes("full_name,dob\nJosé,2\n".encode("latin-1"))
+    found = readers.csv(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {("Zoë", "1"), ("José", "2")}
+
+
+def test_json_root_must_hold_records(spark, tmp_path):
+    (tmp_path / "a.json").write_text("42")
+    with pytest.raises(ValueError):
+        readers.json(spark, str(tmp_path / "a.json"))
+
+
+def test_wide_export_and_dead_letters(spark, tmp_path):
+    raw = spark.createDataFrame([("Ann", "person"), (None, "robot")], "fullName string, entity_type string")
+    made = Contract().normalise(raw, "csv_internal", "B")
+    assert sinks.export_wide(made.limit(0), f"{tmp_path}/none") == 0 and not (tmp_path / "none").exists()
+    assert sinks.export_wide(made, f"{tmp_path}/wide") == 2
+    assert spark.read.csv(f"{tmp_path}/wide", header=True).columns == list(Contract().types)
+    sinks.write_dead_letters(made, f"{tmp_path}/bad")
+    assert spark.read.json(f"{tmp_path}/bad").first().error == ["full_name: required", "entity_type: must_be_one_of"]
+
+
+def test_generated_records_follow_the_contract(spark):
+    made = generator.records(spark, 60, 40, seed=3)
+    again = generator.records(spark, 60, 40, seed=3).repartition(5)
+    assert sorted(map(str, made.collect())) == sorted(map(str, again.collect()))
+    valid = Contract().normalise(made, "synthetic", "S", ordinal=F.lit(0))
+    assert valid.filter("size(_errors) > 0").count() == 0 and valid.count() == 100
+    firms = made.filter("entity_type = 'company'")
+    own = firms.select(F.col("owned_by_entity_id").alias("src"), F.col("entity_id").alias("dst"))
+    assert own.join(made.select(F.col("entity_id").alias("src")), "src", "left_anti").filter("src IS NOT NULL").count() == 0
+    assert {r.id for r in graph.on_cycles(own).collect()} == {f"ENT_CO_{n:08d}" for n in (37, 38, 39)}
+    assert generator.records(spark, 0, 0).count() == 0
+
+
+def test_provenance_triples(spark):
+    nodes = spark.createDataFrame([("G1", "person", ["r1", "r2"])], "id string, entity_type string, source_record_ids array<string>")
+    made = {(r.s.split("/")[-1], r.p.split("#")[-1], r.o) for r in sinks.node_triples(nodes).collect()}
+    assert {("G1", "wasAttributedTo", "urn:pipeline:ubo-graph-v1"), ("RECORD_r1", "atLocation", "urn:source:record:r1"), ("RECORD_r2", "label", "Original record r2"),
+            ("G1", "type", sinks.UBO + "Entity")} <= made
+
+
+def test_versions_are_pruned_and_gaps_are_skipped(spark, tmp_path):
+    write = upsert.versioned(spark, f"{tmp_path}/s", upsert.latest("k", "v"), keep=2)
+    for number in (0, 1, 4, 5, 4):  # 2 and 3 never came, 4 comes again
+        write(spark.createDataFrame([(number, number)], "k int, v int"), number)
+    assert upsert.versions(spark, f"{tmp_path}/s") == [4, 5]
+    assert {r.k for r in spark.read.parquet(f"{tmp_path}/s/v=5").collect()} == {0, 1, 4, 5}
+
+
+def test_batches_equal_a_rebuild(spark):
+    """Golden records, edges and risk after batches are those of all records together; order and repeats don't matter."""
+    rows = [record(n, full_name=f"Person {n % 7}", dob=f"19{60 + n % 7}-03-04", is_pep=n % 7 == 2, director_of_entity_ids=f"E{40 + n % 3}", address=f"{n % 7} Rd, Leeds") for n in range(1, 22)]
+    rows += [record(40 + n, entity_type="company", full_name=f"Firm {n}", dob=None, company_number=f"1234567{n}", owned_by_entity_id="E2", ownership_percentage=60.0,
+                    is_offshore=True, employee_count=1) for n in range(3)]
+    first, second = records(spark, *rows[:12], *rows[21:23]), records(spark, *rows[8:])
+    state = incremental.process(incremental.resolve(first), second)
+    same = incremental.process(state, second.orderBy(F.rand(3)))
+    full = golden.build(state.records)
+    columns = [c for c in full.columns]
+    seen = lambda df, names: sorted(str([r[c] for c in names]) for r in df.collect())
+    assert seen(state.golden, columns) == seen(full, columns) == seen(same.golden, columns)
+    assert state.records.count() == 24 and state.golden.count() == 10
+    held = {(r.src, r.dst, r.rel) for r in state.edges.collect()}
+    assert held == {(r.src, r.dst, r.rel) for r in golden.edges(full, golden.aliases(state.records, full)).collect()} and len(held) > 3
+    scores = {r.golden_id: (r.risk_score, r.is_shell) for r in state.risk.collect()}
+    assert sum(shell for _, shell in scores.values()) == 3 and max(score for score, _ in scores.values()) >= 30
