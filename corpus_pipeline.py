@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as Parquet and
 read again as the next one's documents. All but the last return the columns of ``documents``.
+
+Every stage gives an empty result for an empty table, takes texts of any length whole, and carries columns of any name
+along; each says below what it does with null and empty texts, null keys, ties and repeated rows.
 """
 
 from __future__ import annotations
@@ -15,14 +18,15 @@ from tessera.llm.registry import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, null and empty texts among them; the bands are fitted to ``docs``. Repeated rows
+    get one verdict, and null keys are kept if their text is."""
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that of the smallest key, and one row of it; null keys stay.
 
-    A key names one document; its rows with equal texts are repetitions.
+    A key names one document; its rows with equal texts are repetitions. Null and empty texts are in no group and stay.
     """
     groups = Scratch(spark, "near").table(shingle_join.join(docs), "groups")
     gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
@@ -36,17 +40,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark, and the text's length is counted anew; every row stays, null texts as they are."""
     return secrets.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are replicated to the sources' target weights and shuffled."""
+    """Documents are replicated to the sources' target weights and shuffled. Null sources share the rest's weight; the
+    rows of one key, and null keys, get one count each; a column ``n_copies``, ``copy_no`` or ``shuffle_key`` is replaced."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences, with checksums of their ids."""
+    """Pieces of sequences, with checksums of their ids. A null or empty text is the closing id alone; each row is packed."""
     return packing.digest(packing.pack(docs, tokenizer_path()))
 
 
