@@ -791,3 +791,45 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(after)
 
 
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_carry_columns_of_any_name(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    names = ["key", "cls", "part", "gone_id", "many", "count", "component_id", "n", "head", "doc", "ident", "class", "mix_class", "spans", "tier", "cell", "hot_key", "node"]
+    current = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, current, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        current = spark.read.parquet(f"{tmp_path}/{name}")
+        assert current.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        found = current.select(*names).distinct().collect()
+        assert [tuple(r) for r in found] == [tuple(range(len(names)))]
+    assert corpus_pipeline.STAGES[-1][1](spark, current, str(tmp_path)).count() >= current.count()
+
+
+def test_texts_larger_than_a_slice(spark, field):
+    rng = random.Random(21)
+    syllables = "ka lo mi re tu sa en do vi pe".split()
+    words = ["".join(rng.choices(syllables, k=rng.randint(1, 5))) for _ in range(800_000)]
+    text = " ".join(words) + " password: hunter2hunter22"
+    assert len(text) > 4 << 20
+    df = spark.createDataFrame([(1, text, "aa"), (2, "short one", "bb"), (3, text[: 3 << 20], "aa")], "doc_id long, text string, lang string").coalesce(1)
+    assert {r.doc_id: r.n_words for r in quality.judge(df, bands=quality.Bands()).collect()}[1] == 800_002
+    spans = {r.doc_id: r.spans for r in secrets.find(df, field=field).collect()}
+    assert [s.kind for s in spans[1]] == ["assign"] and spans[1][0].end == len(text)
+    grams = set(zip(words, words[1:], words[2:], words[3:]))
+    found = {r.doc_id: r.n_shingles for r in shingle_join.join(df).collect()}
+    assert found[1] == len(grams | {tuple(x) for x in [(*words[-3:], "password:"), (*words[-2:], "password:", "hunter2hunter22")]})
+    scored = {r.doc_id: r.n_tokens for r in pitman_yor.score(df).collect()}
+    assert scored == {1: 800_003, 2: 3, 3: len(text[: 3 << 20].split()) + 1}
+    pieces = packing.pack(df.filter("doc_id < 3"), registry.tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m"))
+    assert all(r.n == r.m for r in pieces.collect())
+    assert {r.doc_id: r.held_out for r in language.identify(df).collect()}.keys() == {1, 2, 3}
