@@ -151,9 +151,10 @@ def shape(token: str) -> list[int]:
 def near(token: str) -> list[int]:
     """Numbers of the features in _NEAR."""
     lowered = token.lower()
-    if lowered.isalpha() and len(lowered) < 32 and not _is_keyword(lowered) and lowered not in _SPOKEN:
-        return [len(_NEAR) - 1]
+    core = lowered if lowered.isalpha() else lowered.strip(_EDGE + ".!?")
     keyword = _is_keyword(lowered)
+    if core.isalpha() and len(core) < 32 and not keyword and core not in _SPOKEN and lowered[-1] not in ":=":
+        return [len(_NEAR) - 1]
     tests = (
         keyword,
         token in ("=", ":", ":=", "=>"),
@@ -279,6 +280,7 @@ def _planted(rng: random.Random) -> tuple[list[str], list[int]]:
         ".".join(str(rng.randint(0, 255)) for _ in range(4)),
         f"{user}@{word(4, 10)}.{end}",
         f"{user}@{word(3, 6)}.{word(4, 8)}.{end}{rng.choice(['', '.', ',', ';'])}",
+        f"{user}@{word(3, 6)}{rng.randint(1, 99)}.{word(4, 8)}.{end}",
         f"https://www.{word(4, 9)}.{end}/{word(4, 9)}/{rng.randint(1, 9999)}?{word(1, 4)}={rng.randint(1, 99)}",
         f"http://{word(4, 9)}.{end}/{word(3, 8)}-{word(3, 8)}.html",
         f"v{rng.randint(0, 9)}.{rng.randint(0, 30)}.{rng.randint(0, 9)}",
