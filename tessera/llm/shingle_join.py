@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import Scratch, as_bytes, mixed, slices
-from tessera.operators.components import connected_components, looked_up
+from tessera.operators.components import connected_components
 
 
 @dataclass(frozen=True)
@@ -360,11 +360,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan =
     chosen = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     classes = scratch.table(_classes(chosen, plan), "classes")
     parts = connected_components(links(chosen, classes, plan, scratch))
-    full = looked_up(classes.filter("cls IS NOT NULL"), "cls", parts, "node", "left")
+    # Written tables on both sides, one row a key in the right one: adaptive execution can split a hot class or component.
+    full = classes.join(parts, F.col("cls") == F.col("node"), "left")
     named = scratch.table(full.select("key", "n", F.coalesce("component", "cls").alias("part")), "named")
-    heads = named.groupBy(F.col("part").alias("head_part")).agg(F.min("key").alias("head"))
-    joined = looked_up(named, "part", heads, "head_part").select("key", "n", "head")
-    joined = joined.unionByName(classes.filter("cls IS NULL").select("key", "n", F.col("key").alias("head")))
+    heads = named.filter("part IS NOT NULL").groupBy(F.col("part").alias("head_part")).agg(F.min("key").alias("head"))
+    heads = scratch.table(heads, "heads")
+    joined = named.join(heads.hint("merge"), F.col("part") == F.col("head_part"), "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("head", "key"))
     return joined.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
