@@ -46,29 +46,13 @@ class Scratch:
             self._files(path).delete(path, True)
 
 
-def looked_up(rows: DataFrame, key: str, table: DataFrame, table_key: str, how: str = "inner", share: int = 500) -> DataFrame:
-    """The inner or left join of rows with a table that has each key once, also if few keys hold most of the rows.
-
-    A key with more than one in ``share`` of the rows is hot; there are fewer than ``share`` of them, and their entries
-    are broadcast. All other rows are joined by their key.
-    """
-    sizes = rows.groupBy(F.col(key).alias("hot_key")).agg(F.count(F.lit(1)).alias("hot_rows"))
-    top = sizes.orderBy(F.desc("hot_rows")).limit(share)  # all hot ones are among them
-    whole = sizes.agg(F.sum("hot_rows").alias("total_rows"))
-    hot = top.join(F.broadcast(whole)).filter(F.col("hot_rows") * share > F.col("total_rows")).select("hot_key")
-    entries = table.join(F.broadcast(hot), F.col(table_key) == F.col("hot_key"))
-    often = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key")).drop("hot_key")
-    often = often.join(F.broadcast(entries.drop("hot_key")), F.col(key) == F.col(table_key), how)
-    rest = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left_anti")
-    return often.unionByName(rest.join(table, F.col(key) == F.col(table_key), how))
-
-
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): the smallest node that each node of an edge can reach.
 
     Each round takes the least label of a node's neighbours and then the label of its label, so the number of rounds is
     logarithmic in the length of paths; each is a written table, the lineage stays short. Null ends are ignored. A hub, or
-    the label of a giant component, may be the key of most rows: its one entry is broadcast (``looked_up``).
+    the label of a giant component, may be the key of most rows of a join; both sides are shuffled tables with one row a
+    key on one side, so adaptive execution splits such a key over tasks.
     """
     scratch = Scratch(edges.sparkSession, "components")
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
@@ -80,19 +64,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     while True:
         step += 1
         near = (
-            looked_up(both, "b", labels, "node")
+            both.join(labels, F.col("b") == F.col("node"))
             .groupBy(F.col("a").alias("near_node"))
             .agg(F.min("component").alias("near"))
         )
         hooked = labels.join(near, F.col("node") == F.col("near_node")).select(
             "node", F.col("component").alias("was"), F.least("component", "near").alias("component")
         )
-        hooked = scratch.table(hooked, f"hooked-{step}")
         top = labels.select(F.col("node").alias("top_node"), F.col("component").alias("top"))
-        jumped = looked_up(hooked, "component", top, "top_node").select("node", "was", F.least("component", "top").alias("component"))
+        jumped = hooked.join(top, F.col("component") == F.col("top_node")).select(
+            "node", "was", F.least("component", "top").alias("component")
+        )
         fresh = scratch.table(jumped, f"labels-{step}")
         changed = not fresh.filter("component <> was").isEmpty()
-        scratch.drop(f"hooked-{step}", f"labels-{step - 1}")
+        scratch.drop(f"labels-{step - 1}")
         labels = fresh.select("node", "component")
         if not changed:
             scratch.drop("edges")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import golden as survivors
-from tessera.operators.components import Scratch, connected_components, looked_up
+from tessera.operators.components import Scratch, connected_components
 from tessera.operators.matching import Matcher
 from tessera.operators.risk import RiskRules
 from tessera.operators.risk import score as risk_score
@@ -72,7 +72,7 @@ def process(
     parts = connected_components(links)
     known = state.records.withColumn("_new", F.lit(False))
     every = known.unionByName(fresh.withColumn("cluster_id", F.col("record_id")).withColumn("_new", F.lit(True)))
-    joined = looked_up(every, "cluster_id", parts, "node", "left").withColumn("_was", F.col("cluster_id"))
+    joined = every.join(parts, every["cluster_id"] == parts["node"], "left").withColumn("_was", F.col("cluster_id"))
     grouped = joined.withColumn("cluster_id", F.coalesce("component", "cluster_id")).drop("node", "component")
     grouped = scratch.table(grouped, "records")
     moved = grouped.filter("_new OR _was <> cluster_id")
