@@ -98,6 +98,9 @@ class Contract:
             else:
                 raise ValueError(f"unknown rule {kind}")
             given = value.isNotNull() & (value != "")
+            if kind in ("range", "min_value"):
+                found.append(F.when(given & number.isNull(), F.lit(f"{name}: not a number")))
+                given = given & number.isNotNull()
             found.append(F.when(given & ~F.coalesce(good, F.lit(False)), F.lit(f"{name}: {kind}")))
         return F.array_compact(F.array(*found))
 

@@ -50,3 +50,12 @@ def enrich(records: DataFrame) -> DataFrame:
     made = {c: F.when(tests[c], value).otherwise(F.col(c)) for c, (_, value) in steps.items()}
     made["_enriched"] = sum((t.cast("int") for t in tests.values()), F.lit(0))
     return records.withColumns(made)
+
+
+def statistics(enriched: DataFrame) -> DataFrame:
+    """records, records_enriched and fields_enriched, one row."""
+    return enriched.agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count_if(F.col("_enriched") > 0).alias("records_enriched"),
+        F.coalesce(F.sum("_enriched"), F.lit(0)).alias("fields_enriched"),
+    )

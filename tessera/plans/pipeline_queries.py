@@ -62,10 +62,10 @@ def normalised(d: Domain) -> DataFrame:
 
 
 @query("p1_normalise", RAW_SQL + """SELECT record_id, entity_type, full_name, country, employee_count, ownership_percentage, company_number,
-  is_pep, converted FROM typed""", domain=False)
+  is_pep, converted, 'crm_csv' AS source_type, 'B1' AS batch_id, '2024-01-01T00:00:00' AS ingested_at FROM typed""", domain=False)
 def p1(d):
     return normalised(d).select(
-        "record_id", "entity_type", "full_name", "country", "employee_count", "ownership_percentage", "company_number", "is_pep",
+        "source_type", "batch_id", "ingested_at", "record_id", "entity_type", "full_name", "country", "employee_count", "ownership_percentage", "company_number", "is_pep",
         F.array_join("_converted", ",").alias("converted"),
     )
 
@@ -106,6 +106,14 @@ def e1(d):
     return enrich.enrich(normalised(d)).select("record_id", "nationality", "entity_id", "is_pep", "is_offshore")
 
 
+@query("e8_enrichment_stats", RAW_SQL + """, counted AS (SELECT (entity_type = 'person' AND country IS NOT NULL)::INT + (CASE entity_type WHEN 'person' THEN full_name IS NOT NULL
+  WHEN 'company' THEN company_number IS NOT NULL ELSE false END)::INT + (entity_type = 'person' AND is_pep IS NULL)::INT + (entity_type = 'company' AND country IS NOT NULL)::INT
+  + coalesce(country IN ('UK', 'USA', 'US'), false)::INT AS n FROM typed) SELECT count(*) AS records, count(*) FILTER (n > 0) AS records_enriched, sum(n)::BIGINT AS fields_enriched
+  FROM counted""", domain=False)
+def e8(d):
+    return enrich.statistics(enrich.enrich(normalised(d)))
+
+
 # --- text and blocking ------------------------------------------------------------------------------------------------
 
 PEOPLE_SQL = """WITH people AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'Dr. Ann Lee' || c_custkey % 97 WHEN 1 THEN 'LEE' || c_custkey % 97

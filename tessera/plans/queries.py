@@ -110,6 +110,7 @@ def q6(d):
   orders2 AS (SELECT o_custkey, round(o_totalprice * 100)::BIGINT AS cents FROM orders)
   SELECT p.id, count(DISTINCT star.dst) AS network, (SELECT count(*) FROM orders2 WHERE 'P' || o_custkey = p.id) AS n,
   coalesce((SELECT sum(cents) FROM orders2 WHERE 'P' || o_custkey = p.id), 0)::BIGINT AS total_cents,
+  (SELECT round(sum(cents)::DOUBLE / count(*), 4) FROM orders2 WHERE 'P' || o_custkey = p.id) AS avg_cents,
   (SELECT max(cents) FROM orders2 WHERE 'P' || o_custkey = p.id) AS max_cents
   FROM persons p JOIN star ON star.src = p.id WHERE p.is_pep GROUP BY p.id""")
 def q7(d):
@@ -118,10 +119,10 @@ def q7(d):
     sizes = star.groupBy("src").agg(F.count_distinct("dst").alias("network"))
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     paid = d.table("orders").groupBy(F.concat(F.lit("P"), "o_custkey").alias("id")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(cents).alias("total_cents"), F.max(cents).alias("max_cents")
+        F.count(F.lit(1)).alias("n"), F.sum(cents).alias("total_cents"), F.max(cents).alias("max_cents"), F.round(F.avg(cents), 4).alias("avg_cents")
     )
     return sizes.withColumnRenamed("src", "id").join(paid, "id", "left").select(
-        "id", "network", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total_cents", F.lit(0)).alias("total_cents"), "max_cents"
+        "id", "network", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total_cents", F.lit(0)).alias("total_cents"), "max_cents", "avg_cents"
     )
 
 
@@ -148,6 +149,13 @@ def b2a(d):
     )
 
 
+@query("j11_pep_offshore_shells", """SELECT p.id AS person_id, t.id AS company_id FROM owns o JOIN persons p ON p.id = o.src JOIN companies t ON t.id = o.dst
+  WHERE p.is_pep AND t.is_offshore AND t.employee_count <= 2""")
+def j11(d):
+    met = _pairs(d, d.owns).filter("s_is_pep AND t_is_offshore AND t_employee_count <= 2")
+    return met.select(F.col("src").alias("person_id"), F.col("dst").alias("company_id"))
+
+
 @query("b3a_circular_companies", """SELECT id, full_name, risk_score FROM risk WHERE has_circular_ownership AND entity_type = 'company'""")
 def b3a(d):
     return scored(d).filter("has_circular_ownership AND entity_type = 'company'").select("id", "full_name", "risk_score")
@@ -221,12 +229,12 @@ def r3(d):
 
 @query("r4_recursive_cte", "SELECT DISTINCT src, dst FROM walks WHERE depth < 10")
 def r4(d):
-    d.owns.select("src", "dst").createOrReplaceTempView("tessera_owns")
+    """Walks of bounded depth; they may pass a cycle again, ``q1_ubo`` and ``g10_closure`` never do."""
     return d.spark.sql("""
         WITH RECURSIVE walk(src, dst, depth) AS (
-          SELECT src, dst, 1 FROM tessera_owns
-          UNION ALL SELECT w.src, o.dst, depth + 1 FROM walk w JOIN tessera_owns o ON w.dst = o.src WHERE depth < 9)
-        SELECT DISTINCT src, dst FROM walk""")
+          SELECT src, dst, 1 FROM {owns}
+          UNION ALL SELECT w.src, o.dst, depth + 1 FROM walk w JOIN {owns} o ON w.dst = o.src WHERE depth < 9)
+        SELECT DISTINCT src, dst FROM walk""", owns=d.owns.select("src", "dst"))
 
 
 @query("r5_controls", "SELECT src, dst, 'controls' AS rel FROM closed")

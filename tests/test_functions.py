@@ -23,6 +23,7 @@ def test_block_keys(spark):
         ("person", "John Smith", None, None, "British", None, None, "P:J:SMITH:BRITISH"),
         ("person", None, None, None, None, "UK", None, "P:UK"),
         ("person", None, None, None, None, None, None, "P:UNKNOWN"),
+        ("person", "John Smith", None, None, None, None, None, "P:SOUNDEX:J525"),
         ("company", "Acme Trading", None, None, None, "UK", "12345678", "CO:NUM:123"),
         ("company", "Acme Trading", None, None, None, "UK", "123456", "CO:NUM:12"),
         ("company", "Acme Trading", None, "12 St. Anne-Road, Leeds", None, "UK", None, "CO:12:UK"),
@@ -72,7 +73,6 @@ def test_similarities():
     assert similarity.partial("smith", "john smith") == 100
     assert similarity.abbreviation("j. smith", "john smith") == 1.0
     assert similarity.abbreviation("a b c", "a") == 0.0
-    assert similarity.address_score("1 High St, Leeds", "9 Low Rd, Leeds") == 0.4
 
 
 @pytest.mark.parametrize(
@@ -87,6 +87,13 @@ def test_metaphone_by_its_rules(word, code):
     assert similarity.metaphone(word) == code
 
 
+def test_addresses(spark):
+    pairs = [("1 High St, Leeds", "9 Low Rd, Leeds", 0.4), ("1 High St, Leeds", "1 high st, leeds", 1.0), ("1 High St", "9 Low Rd", None), ("a", None, 0.0), ("", "a", 0.0)]
+    df = spark.createDataFrame(pairs, "a string, b string, wanted double")
+    for r in df.select("a", "b", "wanted", similarity.compare_addresses(F.col("a"), F.col("b")).alias("x")).collect():
+        assert r.x == (r.wanted if r.wanted is not None else similarity.token_set(r.a.lower(), r.b.lower()) / 200)
+
+
 def test_registered_functions(spark):
     similarity.register(spark)
     assert spark.sql("SELECT indel_ratio('kitten', 'sitting'), token_sort_ratio(NULL, 'a')").first() == (0.62, None)

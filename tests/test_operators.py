@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluate, golden, graph, incremental, risk
 from tessera.operators.components import connected_components
+from tessera.operators.config import Config
 from tessera.operators.contract import Contract, explode_boards, statistics
 from tessera.operators.enrich import enrich
 from tessera.operators.matching import Matcher
@@ -252,3 +253,17 @@ def test_batches_equal_a_rebuild(spark):
     assert held == {(r.src, r.dst, r.rel) for r in golden.edges(full, golden.aliases(state.records, full)).collect()} and len(held) > 3
     scores = {r.golden_id: (r.risk_score, r.is_shell) for r in state.risk.collect()}
     assert sum(shell for _, shell in scores.values()) == 3 and max(score for score, _ in scores.values()) >= 30
+
+
+def test_configuration(tmp_path):
+    (tmp_path / "c.yaml").write_text("entity_resolution: {weights: {name: 0.5}}\ngolden_record: {strategies: {full_name: most_recent}}\nrisk_scoring: {nominee_director_threshold: 9, risk_levels: {high: 40}}")
+    found = Config.load(str(tmp_path / "c.yaml"))
+    assert (found.matcher.weights.name, found.matcher.weights.dob, found.risk.nominee, found.risk.high, found.risk.medium) == (0.5, 0.25, 9, 40, 10)
+    assert found.survivorship.strategies == {"full_name": "most_recent"} and found.survivorship.priorities == golden.PRIORITIES
+    (tmp_path / "none.yaml").write_text("")
+    assert Config.load(str(tmp_path / "none.yaml")) == Config()
+
+
+def test_values_that_are_no_numbers_break_their_rule(spark):
+    df = spark.createDataFrame([("r", "person", "Ann", "many", "120")], "record_id string, entity_type string, full_name string, employee_count string, ownership_percentage string")
+    assert Contract().validated(df).first()._errors == ["ownership_percentage: range", "employee_count: not a number"]
