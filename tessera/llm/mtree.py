@@ -41,9 +41,14 @@ class Plan:
     scale: int = 256
     page: int = 128  #: entries of a node
     tree: int = 16384  #: vectors of a tree, about
+    values: int = 1 << 20  #: components of all its vectors, about
     pivots: int = 256  #: at the top
     sample: int = 4096  #: vectors that the pivots are chosen from
 
+    def members(self, width: int) -> int:
+        """Vectors of a tree."""
+        return max(self.page, min(self.tree, self.values // max(1, width)))
+
 
 @dataclass(frozen=True)
 class Node:
@@ -51,7 +56,6 @@ class Node:
     to_parent: np.ndarray  #: distances of the pivots to this node's own
     radii: np.ndarray
     children: tuple[Node, ...]  #: none in a leaf
-    block: np.ndarray  #: the members' vectors, with their further component
 
 
 class MTree:
@@ -59,13 +63,26 @@ class MTree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = Plan.page, bound: float | None = None):
         self.ids, self.vectors, self.page = ids, vectors, page
-        norms = (vectors**2).sum(axis=1)
-        self.bound = max(float(norms.max(initial=0.0)), bound or 0.0)
-        self.lifted = np.column_stack([vectors, np.sqrt(np.maximum(0.0, self.bound - norms))])
+        self.bound = max(float((vectors**2).sum(axis=1).max(initial=0.0)), bound or 0.0)
+        self._lift()
+        self.root = self._grow(np.arange(len(ids)), 0) if len(ids) else None
+
+    def _lift(self) -> None:
+        self.lifted = np.column_stack([self.vectors, np.sqrt(np.maximum(0.0, self.bound - (self.vectors**2).sum(axis=1)))])
         # Rounding of distances: generous, since a bound that is too low costs time only.
         self.slack = 1e-6 * (1.0 + np.sqrt(self.bound))
         self.computed = 0  #: distances that searches computed
-        self.root = self._grow(np.arange(len(ids)), 0) if len(ids) else None
+
+    def __getstate__(self) -> dict:
+        """Without what follows from the vectors, these as the smallest integers that hold them."""
+        top = np.abs(self.vectors).max(initial=0.0)
+        kind = next((k for k, most in ((np.int16, 2.0**15), (np.int32, 2.0**31), (np.int64, 2.0**53)) if top < most), np.float64)
+        return {"ids": self.ids, "vectors": self.vectors.astype(kind), "page": self.page, "bound": self.bound, "root": self.root}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.vectors = self.vectors.astype(float)
+        self._lift()
 
     def _to(self, rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
         """Distances, pivots × rows. Norms of lifted vectors all are the bound."""
@@ -73,7 +90,7 @@ class MTree:
         return np.sqrt(np.maximum(0.0, 2 * (self.bound - inner)))
 
     def _node(self, rows: np.ndarray, pivot: int, radii: np.ndarray, children: tuple[Node, ...]) -> Node:
-        return Node(rows, self._to(rows, np.array([pivot]))[0], radii, children, self.lifted[rows])
+        return Node(rows, self._to(rows, np.array([pivot]))[0], radii, children)
 
     def _grow(self, rows: np.ndarray, pivot: int) -> Node:
         """The node over ``rows`` below ``pivot``."""
@@ -117,11 +134,8 @@ class MTree:
             if least > worst:
                 break
             near = np.abs(to_pivot - node.to_parent) - node.radii - self.slack <= worst
-            if near.all():
-                at, products = np.arange(len(near)), node.block @ lifted
-            else:
-                at = np.flatnonzero(near)
-                products = node.block[at] @ lifted
+            at = np.flatnonzero(near)
+            products = self.lifted[node.members[at]] @ lifted
             self.computed += len(at)
             if node.children:
                 away = np.sqrt(np.maximum(0.0, square - 2.0 * products))
@@ -219,7 +233,7 @@ def _roots(whole: DataFrame, plan: Plan) -> Roots:
     for at, row in enumerate(rows):
         vectors[at, : len(row["v"])] = row["v"]
     lifted = np.column_stack([vectors, np.sqrt(np.maximum(0.0, bound - (vectors**2).sum(axis=1)))])
-    wanted = min(plan.pivots, -(-sizes["n"] // plan.tree) if sizes["n"] else 1)
+    wanted = min(plan.pivots, -(-sizes["n"] // plan.members(width)) if sizes["n"] else 1)
     return Roots(lifted[spread(lifted, max(1, wanted))] if len(lifted) else np.zeros((1, width + 1)), bound)
 
 
@@ -328,13 +342,14 @@ def search(
     scratch = Scratch(table.sparkSession, "mtree")
     whole = table.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), plan.scale).alias("v"))
     whole = scratch.table(whole.filter("id IS NOT NULL AND v IS NOT NULL"), "vectors")
-    queries = whole.withColumnRenamed("id", key).filter(is_query).withColumnRenamed(key, "id").groupBy("id").agg(F.min("v").alias("v"))
     roots = _roots(whole, plan)
     placed = scratch.table(_placed(whole, roots), "placed")
+    scratch.drop("vectors")
+    queries = placed.select(F.col("id").alias(key), "v").filter(is_query).withColumnRenamed(key, "id").groupBy("id").agg(F.min("v").alias("v"))
     below = {r["pivot"]: r for r in placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}
     radii, trees = np.zeros(len(roots.pivots)), np.zeros(len(roots.pivots), np.int64)
     for pivot, row in below.items():
-        radii[pivot], trees[pivot] = row["radius"], -(-row["n"] // plan.tree)
+        radii[pivot], trees[pivot] = row["radius"], -(-row["n"] // plan.members(roots.width))
     roots = replace(roots, radii=radii, trees=trees)
     grown = scratch.table(_grown(placed, roots, plan), "trees")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -344,7 +359,7 @@ def search(
     known = queries.join(floors, F.col("id") == F.col("of"), "left").drop("of")
     second = _asked(grown, known, roots, plan, True)
     ranked = scratch.table(best(first.drop("rank").unionByName(second)), "found")
-    scratch.drop("vectors", "placed", "trees", "first")
+    scratch.drop("placed", "trees", "first")
     return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
 
 
