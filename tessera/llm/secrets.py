@@ -48,6 +48,7 @@ FIELD = "crf"
 _PROFILES = 50_000  # kinds of tokens whose sums a worker keeps
 _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'`,;:()[]{}<>"
+_MARKS = _EDGE + ".!?"
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
 
@@ -58,7 +59,7 @@ class Plan:
     rounds: int = 120
     rate: float = 0.15
     penalty: float = 1e-3
-    table: int = 200_000  #: entries of a worker's table of tokens
+    table: int = 300_000  #: entries of a worker's table of tokens
     words: int = 1 << 12  #: hash values of neighbouring words
     seed: int = 7
     mark: str = "[SECRET]"
@@ -110,12 +111,14 @@ def shape(token: str) -> list[int]:
     """Numbers of the features in _SHAPES."""
     n = len(token)
     on = [0, *range(1, 1 + bisect_right((8, 12, 16, 24, 40), n))]
-    core = token.strip(_EDGE)
+    core = token if token.isalpha() else token.strip(_MARKS)
     if core.isalpha() and n < 16:
         on.append(6)
-        if core.lower() != core and not core.istitle() and not core.isupper():
+        lowered = core.lower()
+        if lowered != core and not core.istitle() and not core.isupper():
             on.append(24)
-        return on + [13] * _is_keyword(core.lower())
+        return on + [13] * _is_keyword(lowered)
+    core = token.strip(_EDGE)
     lowered = core.lower()
     key, sign, value = re.match(r"([^=:]*)([=:]?)(.*)", core, re.S).groups()
     judged = value.strip(_EDGE) if sign and value and _is_keyword(key.lower()) else core
@@ -151,7 +154,7 @@ def shape(token: str) -> list[int]:
 def near(token: str) -> list[int]:
     """Numbers of the features in _NEAR."""
     lowered = token.lower()
-    core = lowered if lowered.isalpha() else lowered.strip(_EDGE + ".!?")
+    core = lowered if lowered.isalpha() else lowered.strip(_MARKS)
     keyword = _is_keyword(lowered)
     if core.isalpha() and len(core) < 32 and not keyword and core not in _SPOKEN and lowered[-1] not in ":=":
         return [len(_NEAR) - 1]
@@ -175,8 +178,8 @@ def file_features(text: str) -> list[int]:
 
 def bucket(token: str, plan: Plan) -> int:
     """The hash value of a word; 0 of all that is no word."""
-    core = token.strip(_EDGE + ".!?=").lower()
-    return 1 + zlib.crc32(core.encode()) % (plan.words - 1) if core.isalpha() and len(core) < 32 else 0
+    core = token if token.isalpha() else token.strip(_MARKS + "=")
+    return 1 + zlib.crc32(core.lower().encode()) % (plan.words - 1) if core.isalpha() and len(core) < 32 else 0
 
 
 # --- the field --------------------------------------------------------------------------------------------------------
@@ -218,24 +221,29 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
 
 
 def _expectations(scores: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Marginals of tags, expected transitions (without the outer ones) and log Z, of sequences × tokens × tags."""
-    n, length, _ = scores.shape
-    ahead = np.empty_like(scores)
-    ahead[:, 0] = scores[:, 0] + moves[OUTSIDE]
-    for t in range(1, length):
-        ahead[:, t] = np.logaddexp.reduce(ahead[:, t - 1][:, :, None] + moves, axis=1) + scores[:, t]
-    behind = np.empty_like(scores)
-    behind[:, -1] = moves[:, OUTSIDE]
-    for t in range(length - 2, -1, -1):
-        behind[:, t] = np.logaddexp.reduce(moves + (scores[:, t + 1] + behind[:, t + 1])[:, None, :], axis=2)
-    total = np.logaddexp.reduce(ahead[:, 0] + behind[:, 0], axis=1)
-    tags = np.exp(ahead + behind - total[:, None, None])
-    pairs = np.exp(
-        ahead[:, :-1, :, None] + moves + (scores[:, 1:] + behind[:, 1:])[:, :, None, :] - total[:, None, None, None]
-    ).sum(axis=(0, 1))
+    """Marginals of tags, expected transitions (the outer ones included) and log Z, of sequences × tokens × tags.
+
+    Forward and backward sums of products, scaled to 1 at each token.
+    """
+    length = scores.shape[1]
+    top = scores.max(axis=2, keepdims=True)
+    own, step = np.exp(scores - top), np.exp(moves)
+    ahead, behind, scale = np.empty_like(own), np.empty_like(own), np.empty(own.shape[:2])
+    for t in range(length):
+        now = own[:, t] * (ahead[:, t - 1] @ step if t else step[OUTSIDE])
+        scale[:, t] = now.sum(axis=1)
+        ahead[:, t] = now / scale[:, t, None]
+    behind[:, -1] = step[:, OUTSIDE]
+    for t in range(length - 1, 0, -1):
+        behind[:, t - 1] = (own[:, t] * behind[:, t]) @ step.T / scale[:, t, None]
+    tags = ahead * behind
+    ends = tags[:, 0].sum(axis=1)  # the same at every token
+    tags /= ends[:, None, None]
+    into = own[:, 1:] * behind[:, 1:] / (scale[:, 1:] * ends[:, None])[:, :, None]
+    pairs = np.einsum("ntp,ntk->pk", ahead[:, :-1], into) * step
     pairs[OUTSIDE] += tags[:, 0].sum(axis=0)
     pairs[:, OUTSIDE] += tags[:, -1].sum(axis=0)
-    return tags, pairs, float(total.sum())
+    return tags, pairs, float(np.log(scale).sum() + top.sum() + np.log(ends).sum())
 
 
 def _planted(rng: random.Random) -> tuple[list[str], list[int]]:
@@ -356,35 +364,49 @@ class Tagger:
         self.field, self.plan = field, plan
         self.shape, self.before, self.before2, self.after, self.file = field.parts()
         self.slack = field.slack
+        self._empty()
+
+    def _empty(self) -> None:
         self.numbers: dict[str, int] = {}  # short tokens; bounded in entries and so in bytes
-        self.profiles: dict[tuple, np.ndarray] = {}  # what tokens with the same features share
+        self.profiles: dict[tuple, int] = {}  # tokens with the same features share a profile
+        self.shared: list[np.ndarray] = []
         self.rows, self.used = np.zeros((1 << 14, 12), np.float32), 0
+        self.fresh: tuple[list[int], list[int]] = ([], [])  # profiles and hash values of tokens without a row
 
     def _number(self, token: str) -> int:
         own, beside = shape(token), near(token)
         profile = (*own, -1, *beside)
         shared = self.profiles.get(profile)
         if shared is None:
-            if len(self.profiles) >= _PROFILES:
-                self.profiles.clear()
+            shared = self.profiles[profile] = len(self.shared)
             parts = (self.shape[own], self.before[beside], self.before2[beside], self.after[beside])
-            shared = self.profiles[profile] = np.concatenate([p.sum(axis=0) for p in parts])
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        number, self.used = self.used, self.used + 1
-        row, hashed = self.rows[number], bucket(token, self.plan)
-        row[:] = shared
-        row[3:6] += self.field.words[0, hashed]
-        row[9:12] += self.field.words[1, hashed]
+            self.shared.append(np.concatenate([p.sum(axis=0) for p in parts]))
+        self.fresh[0].append(shared)
+        self.fresh[1].append(bucket(token, self.plan))
+        number = self.used + len(self.fresh[0]) - 1
         if len(token) < 64:
             self.numbers[token] = number
         return number
 
+    def _fill(self) -> None:
+        """Rows of the tokens that are new."""
+        shared, hashed = map(np.array, self.fresh)
+        if not len(shared):
+            return
+        end = self.used + len(shared)
+        if end > len(self.rows):
+            more = np.zeros((max(len(self.rows), end - len(self.rows)), 12), np.float32)
+            self.rows = np.concatenate([self.rows, more])
+        rows = np.array(self.shared)[shared]
+        rows[:, 3:6] += self.field.words[0, hashed]
+        rows[:, 9:12] += self.field.words[1, hashed]
+        self.rows[self.used : end] = rows
+        self.used, self.fresh = end, ([], [])
+
     def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """(start, end) of the secrets of each text, in code points."""
-        if self.used > self.plan.table:
-            self.numbers.clear()
-            self.rows, self.used = np.zeros((1 << 14, 12), np.float32), 0
+        if self.used > self.plan.table or len(self.shared) > _PROFILES:
+            self._empty()
         get, new = self.numbers.get, self._number
         pieces = [text.split() for text in texts]
         pad = new("") if get("") is None else get("")
@@ -395,6 +417,7 @@ class Tagger:
                 found = [new(t) if (n := get(t)) is None else n for t in tokens]
             numbers += found
             numbers += (pad, pad)
+        self._fill()
         ids = np.array(numbers, np.int64)
         lengths = np.array([len(tokens) for tokens in pieces])
         starts = np.cumsum(lengths + 2) - lengths - 2
