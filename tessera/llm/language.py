@@ -130,9 +130,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", plan: Plan =
     return models
 
 
-def _passed(rows: DataFrame, model: Model) -> DataFrame:
-    """key, text, best, lang, total: after one block of languages; total is the log of the sum of all probabilities."""
+def _passed(rows: DataFrame, model: Model, last: bool) -> DataFrame:
+    """key, text (but for the last block), best, lang, total: after one block of languages; total is the log of the sum of
+    all probabilities."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([f for f in rows.schema if not last or f.name != "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -144,10 +146,11 @@ def _passed(rows: DataFrame, model: Model) -> DataFrame:
                 higher = (top > best) & has_letter
                 langs = [model.languages[n] if up else old for n, up, old in zip(own, higher, part.column("lang").to_pylist())]
                 total = np.where(has_letter, np.logaddexp(total, np.logaddexp.reduce(sums, axis=0)), total)
-                out = [part.column("key"), part.column("text"), pa.array(np.where(higher, top, best)), pa.array(langs, pa.string()), pa.array(total)]
-                yield pa.RecordBatch.from_arrays(out, ["key", "text", "best", "lang", "total"])
+                out = {"key": part.column("key"), "text": part.column("text"), "best": pa.array(np.where(higher, top, best)),
+                       "lang": pa.array(langs, pa.string()), "total": pa.array(total)}
+                yield pa.RecordBatch.from_arrays([out[name] for name in schema.names], schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, models: list[Model], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,7 +160,7 @@ def predict(docs: DataFrame, models: list[Model], key: str = "doc_id", text: str
         F.col(key).alias("key"), F.col(text).alias("text"), none.alias("best"), F.lit("und").alias("lang"), none.alias("total")
     )
     for model in models:
-        rows = _passed(rows, model)
+        rows = _passed(rows, model, model is models[-1])
     score = F.when(F.col("total") > none, F.exp(F.col("best") - F.col("total"))).otherwise(0.0)
     return rows.select(F.col("key").alias(key), F.col("lang").alias("lang_pred"), F.least(score, F.lit(1.0)).alias("score"))
 
