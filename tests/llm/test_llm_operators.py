@@ -492,6 +492,27 @@ def test_secrets_field_finds_other_forms_and_leaves_the_harmless(field):
     assert found[other_secrets] > 0.8 and found[other_harmless] < 0.02, found
 
 
+def test_secrets_expectations_by_enumeration():
+    rng = np.random.default_rng(5)
+    scores, moves = rng.normal(size=(2, 4, 3)) * 2, rng.normal(size=(3, 3))
+    tags, pairs, total = secrets._expectations(scores, moves)
+    wanted, wanted_pairs, logs = np.zeros((2, 4, 3)), np.zeros((3, 3)), 0.0
+    for n in range(2):
+        paths = list(itertools.product(range(3), repeat=4))
+        weights = []
+        for path in paths:
+            bounded = (0, *path, 0)
+            weights.append(math.exp(sum(scores[n, t, k] for t, k in enumerate(path)) + sum(moves[a, b] for a, b in zip(bounded, bounded[1:]))))
+        logs += math.log(sum(weights))
+        for path, weight in zip(paths, weights):
+            share, bounded = weight / sum(weights), (0, *path, 0)
+            for t, k in enumerate(path):
+                wanted[n, t, k] += share
+            for a, b in zip(bounded, bounded[1:]):
+                wanted_pairs[a, b] += share
+    assert np.allclose(tags, wanted) and np.allclose(pairs, wanted_pairs) and total == pytest.approx(logs)
+
+
 def test_secrets_field_hears_neighbouring_words(field):
     assert np.abs(field.words[:, :-1]).max() > 0.05 and not field.words[:, -1].any()
 
