@@ -312,13 +312,13 @@ def links(docs: DataFrame, classes: DataFrame, plan: Plan, scratch: Scratch) ->
     key = docs.schema["key"].name
     least = classes.filter("cls IS NOT NULL AND key IS NOT NULL").groupBy("cls").agg(F.min(key).alias("key"), F.max("n").alias("n"))
     least = scratch.table(least, "least")
-    routed = _leaders(docs, plan, scratch).join(least, "cls")
+    routed = scratch.table(_leaders(docs, plan, scratch).join(least, "cls"), "routed")
     sums = routed.groupBy("leader").agg(
         F.ceil(
             F.greatest(F.count("cls") / F.lit(plan.chunk_sets), F.sum("n") / F.lit(plan.chunk_elements))
         ).cast("int").alias("chunks")
     )
-    placed = routed.join(sums, "leader")
+    placed = routed.join(scratch.table(sums, "sums").hint("merge"), "leader")  # a leader of many rows can be split
     own = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
     seats = F.when(F.col("cls") == F.col("leader"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
     seated = scratch.table(
