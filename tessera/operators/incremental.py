@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import golden as survivors
-from tessera.operators.components import Scratch, connected_components
+from tessera.operators.components import Scratch, linked_components
 from tessera.operators.matching import Matcher
 from tessera.operators.risk import RiskRules
 from tessera.operators.risk import score as risk_score
@@ -41,35 +41,44 @@ def linked(state: State, rules: RiskRules = RiskRules()) -> State:
 
 def clusters(records: DataFrame, matched: DataFrame) -> DataFrame:
     """records with cluster_id: the least record id that matches (src, dst) reach; singles are their own."""
-    parts = connected_components(matched)
+    parts = linked_components(matched)
     joined = records.join(parts, records["record_id"] == parts["node"], "left")
     return joined.withColumn("cluster_id", F.coalesce("component", "record_id")).drop("node", "component")
 
 
-def resolve(records: DataFrame, matcher: Matcher = Matcher(), rules: survivors.Survivorship = survivors.Survivorship()) -> State:
-    """One batch from nothing: block, match, cluster, merge."""
+def links_of(blocked: DataFrame, matcher: Matcher) -> DataFrame:
+    """src, dst: matching records of one block; blocked: a written table with block keys."""
+    matched = matcher.matches(matcher.linkable(blocked))
+    return matched.select(F.col("l_record_id").alias("src"), F.col("r_record_id").alias("dst"))
+
+
+def resolve(
+    records: DataFrame, matcher: Matcher = Matcher(), rules: survivors.Survivorship = survivors.Survivorship(), graph: bool = True
+) -> State:
+    """One batch from nothing: block, match, cluster, merge. Without ``graph`` the state has no edges and no risk."""
     scratch = Scratch(records.sparkSession, "resolve")
-    matched = matcher.scored(matcher.pairs(records)).filter("is_match")
-    links = matched.select(F.col("l_record_id").alias("src"), F.col("r_record_id").alias("dst"))
-    grouped = scratch.table(clusters(records, links), "records")
-    return linked(State(grouped, scratch.table(matcher.with_block(survivors.build(grouped, rules=rules)), "golden")))
+    blocked = scratch.table(matcher.with_block(records), "blocked")
+    grouped = scratch.table(clusters(blocked.select(*records.columns), links_of(blocked, matcher)), "records")
+    state = State(grouped, scratch.table(matcher.with_block(survivors.build(grouped, rules=rules)), "golden"))
+    return linked(state) if graph else state
 
 
 def process(
-    state: State, batch: DataFrame, matcher: Matcher = Matcher(), rules: survivors.Survivorship = survivors.Survivorship()
+    state: State, batch: DataFrame, matcher: Matcher = Matcher(), rules: survivors.Survivorship = survivors.Survivorship(), graph: bool = True
 ) -> State:
     """The state after a batch. Records seen before are skipped; new ones join the golden record of the best match or
     each other; the order of records has no influence. Golden records and block keys are made anew, from lineage, where
-    a record came in or clusters merged; all others stay as they are. Edges and risk are those of the whole new graph."""
+    a record came in or clusters merged; all others stay as they are. Edges and risk are those of the whole new
+    graph; without ``graph`` there are none."""
     scratch = Scratch(batch.sparkSession, "batch")
     fresh = unseen(batch, state.records)
-    met = matcher.scored(matcher.candidates(fresh, state.golden.withColumn("source_type", F.element_at("source_types", 1))))
-    best = Window.partitionBy("l_record_id").orderBy(F.desc("score"), "r_golden_id")
-    chosen = met.filter("is_match").withColumn("place", F.row_number().over(best)).filter("place = 1")
-    onto = chosen.select(F.col("l_record_id").alias("src"), F.col("r_cluster_id").alias("dst"))
-    among = matcher.scored(matcher.pairs(fresh)).filter("is_match")
-    links = onto.unionByName(among.select(F.col("l_record_id").alias("src"), F.col("r_record_id").alias("dst")))
-    parts = connected_components(links)
+    blocked = scratch.table(matcher.with_block(fresh), "fresh")
+    fresh = blocked.select(*fresh.columns)
+    met = matcher.matches(matcher.candidates(blocked, state.golden.withColumn("source_type", F.element_at("source_types", 1))))
+    best = F.min_by("r_cluster_id", F.struct(-F.col("score"), F.col("r_golden_id")))
+    onto = met.groupBy(F.col("l_record_id").alias("src")).agg(best.alias("dst"))
+    links = onto.unionByName(links_of(blocked, matcher))
+    parts = linked_components(links)
     known = state.records.withColumn("_new", F.lit(False))
     every = known.unionByName(fresh.withColumn("cluster_id", F.col("record_id")).withColumn("_new", F.lit(True)))
     joined = every.join(parts, every["cluster_id"] == parts["node"], "left").withColumn("_was", F.col("cluster_id"))
@@ -81,7 +90,8 @@ def process(
     records = grouped.drop("_new", "_was")
     made = matcher.with_block(survivors.build(records.join(touched, "cluster_id", "left_semi"), rules=rules))
     kept = state.golden.join(gone, "cluster_id", "left_anti")
-    return linked(State(records, scratch.table(kept.unionByName(made.select(*kept.columns)), "golden")))
+    after = State(records, scratch.table(kept.unionByName(made.select(*kept.columns)), "golden"))
+    return linked(after) if graph else after
 
 
 def changes(before: State, after: State) -> DataFrame:

@@ -267,3 +267,40 @@ def test_configuration(tmp_path):
 def test_values_that_are_no_numbers_break_their_rule(spark):
     df = spark.createDataFrame([("r", "person", "Ann", "many", "120")], "record_id string, entity_type string, full_name string, employee_count string, ownership_percentage string")
     assert Contract().validated(df).first()._errors == ["ownership_percentage: range", "employee_count: not a number"]
+
+
+def test_matches_are_the_accepted_pairs_of_all(spark):
+    """Numbers in the join, parts of large blocks and looked-up texts lose no match and repeat none."""
+    names = ["Ann Lee", "Lee, Ann", "Bob Stone", "Anne Leigh"]
+    rows = [record(n, full_name=names[n % 4], dob=[None, "1980-01-02", "1980-01-03"][n % 3], address=[None, "1 High St, Leeds", "2 High St, Leeds"][n % 5 % 3]) for n in range(1, 25)]
+    rows += [record(100 + n, entity_type="company", full_name="Acme Ltd", company_number=[None, "12345678", " 12345678", "12399999"][n % 4], address="1 NUM, Leeds",
+                    source_type=["csv_internal", "x"][n % 3 % 2]) for n in range(12)]
+    table = records(spark, *rows)
+    seen = lambda df: sorted((r.l_record_id, r.r_record_id, r.score, r.rule) for r in df.collect())
+    plain = Matcher()
+    expected = seen(plain.scored(plain.pairs(table)).filter("is_match"))
+    blocked = plain.with_block(table)
+    assert len(expected) > 20 and any(a.startswith("R10") for a, *_ in expected)
+    assert seen(Matcher(part_rows=3).matches(Matcher(part_rows=3).linkable(blocked))) == expected
+    assert seen(Matcher(text_pairs=0).matches(plain.linkable(blocked))) == expected
+
+
+def test_orphans_are_searched_by_many_tasks(spark):
+    high, wide = Matcher().grid(2000, 1900)
+    assert high * wide > 8 and Matcher().grid(120_000, 540_000)[0] * Matcher().grid(120_000, 540_000)[1] < 1100
+    m = Matcher(cell_pairs=4)
+    known = m.with_block(records(spark, *[record(n, dob=f"19{50 + n}-01-01") for n in range(1, 9)])).withColumn("golden_id", F.concat(F.lit("G"), "record_id"))
+    fresh = records(spark, *[record(20 + n, dob=f"20{10 + n}-05-05") for n in range(6)])
+    met = [(r.l_record_id, r.r_record_id) for r in m.candidates(fresh, known).collect()]
+    assert len(met) == len(set(met)) == 48
+
+
+def test_thinned_links_connect_the_same(spark):
+    from tessera.operators.components import linked_components
+
+    links = [(f"n{a}", f"n{b}") for a in range(40) for b in range(a + 1, 40) if a % 3 == b % 3] + [("z", "z"), ("y", None)]
+    df = spark.createDataFrame(links, "src string, dst string").repartition(5)
+    expected = {r.node: r.component for r in connected_components(df).filter("node <> 'z'").collect()}
+    for few in (0, 1000):
+        found = linked_components(df, few).collect()
+        assert {r.node: r.component for r in found} == expected and len(found) == 40
