@@ -18,8 +18,8 @@ Jobs:
 3. Scores. Slices send all occurrences; buckets seat their contexts anew under the sampled parent with the discount
    and strength that the first job found, and return sums by document.
 
-Counts come from every training document. A bounded sample of rows (``Plan.sample``) chooses the ``Plan.head`` words with
-short numbers, whose totals are broadcast; it decides about layout only, as does the first guess. Words beyond are known by
+Counts come from every training document, those too that choose the ``Plan.head`` words with short numbers, whose totals
+are broadcast, split contexts and make the first guess. Words beyond are known by
 63-bit hashes. Contexts that would fill a bucket are split by token over several; job 3 draws their parts' tables just as
 job 1 did, under the first guess, and takes the context's customers and tables from job 1, so that they add up.
 A bucket and a group hold bounded numbers of tokens, and nothing that grows with the corpus reaches the driver.
@@ -55,7 +55,7 @@ _TAIL = 1 << 63  # numbers from here on are hashes
 @dataclass(frozen=True)
 class Plan:
     head: int = (1 << 16) - 1  #: words with numbers of two bytes
-    sample: int = 8192  #: rows that choose them
+    sample: int = 0  #: without effect, for callers that give it: all training words choose them
     bucket: int = 1 << 19  #: tokens of a bucket of contexts, about
     group: int = 1 << 22  #: tokens of a group of words, about
     burn: int = 3
@@ -692,18 +692,24 @@ def sum_scores(docs: DataFrame, replies: DataFrame, model: Model, plan: Plan) ->
 
 
 def layout_of(docs: DataFrame, plan: Plan, scratch: Scratch) -> Layout:
-    """From the size of the texts and a sample of rows."""
-    size = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    every = max(1, size["rows"] // plan.sample)
-    drawn = docs.filter(~held_out("key")).filter(F.pmod(F.xxhash64(F.lit(plan.seed), "key", "text"), F.lit(every)) == 0)
-    raw = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = drawn.select(F.explode(F.split(F.coalesce(raw, F.lit("")), r"[\x20\x09-\x0D]+")).alias("word"))
-    words = words.unionByName(drawn.select(F.lit("").alias("word")))  # an end each
-    sums = scratch.table(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "sample")
-    heavy = sums.filter("word <> ''").orderBy(F.desc("n"), "word").limit(plan.head).collect()
+    """From the size of the texts and the counts of all training words."""
+    train = ~held_out("key")
+    size = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes"), F.count_if(train).alias("train")).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, "text", plan.slice_bytes):
+                texts = pc.ascii_lower(pc.fill_null(rows.column("text").cast(pa.string()), ""))
+                found = pc.value_counts(pc.ascii_split_whitespace(texts).flatten())
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
+        give_back()
+
+    counted = docs.filter(train).select("text").mapInArrow(run, "word string, n long").filter("word <> ''")
+    sums = scratch.table(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    heavy = sums.orderBy(F.desc("n"), "word").limit(plan.head).collect()
     whole = sums.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).first()
-    ends = max(1, sums.filter("word = ''").agg(F.sum("n")).first()[0] or 0)
-    scratch.drop("sample")
+    ends = max(1, size["train"])
+    scratch.drop("words")
     total, types = (whole["n"] or 0) + ends, whole["types"] + 1
     counts = np.array([ends, *[r["n"] for r in heavy]], float)
     expected = (size["bytes"] or 0) / 6 + size["rows"]

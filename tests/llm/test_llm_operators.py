@@ -854,3 +854,11 @@ def test_texts_larger_than_a_slice(spark, field):
     pieces = packing.pack(df.filter("doc_id < 3"), registry.tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m"))
     assert all(r.n == r.m for r in pieces.collect())
     assert {r.doc_id: r.held_out for r in language.identify(df).collect()}.keys() == {1, 2, 3}
+
+
+def test_pitman_yor_layout_counts_all_training_words(spark):
+    df = spark.createDataFrame([(n, f"Common w{n}  common") for n in range(60)], "key long, text string")
+    train = {r.key for r in df.filter(~pitman_yor.held_out("key")).collect()}
+    layout = pitman_yor.layout_of(df, pitman_yor.Plan(sample=2), pitman_yor.Scratch(spark, "test"))
+    assert layout.head[0] == b"common" and set(layout.head[1:]) == {f"w{n}".encode() for n in train}
+    assert abs(layout.guess[1] / layout.guess[2] - (2 * len(train)) ** 0.8) < 1e-6
