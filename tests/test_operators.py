@@ -295,6 +295,18 @@ def test_orphans_are_searched_by_many_tasks(spark):
     assert len(met) == len(set(met)) == 48
 
 
+def test_orphans_search_is_written_once(spark):
+    m = Matcher(cell_pairs=4, column_rows=2)
+    known = m.with_block(records(spark, *[record(n, dob=f"19{50 + n}-01-01", full_name=["Ann Lee", None][n % 4 == 3]) for n in range(1, 9)])).withColumn("golden_id", F.concat(F.lit("G"), "record_id"))
+    fresh = records(spark, *[record(20 + n, dob=f"20{10 + n}-05-05", full_name=["Ann Lee", None][n % 3 == 2]) for n in range(6)])
+    met = m.candidates(fresh, known)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert m.grid(6, 8)[0] > 1 and m.grid(6, 8)[1] > 1 and "CartesianProduct" in plan and "Generate explode" not in plan
+    found = [(r.l_record_id, r.r_record_id) for r in met.collect()]
+    assert sorted(found) == sorted((f"R{20 + a}", f"R{b}") for a in range(6) for b in range(1, 9) if (a % 3 == 2) == (b % 4 == 3))  # no names: one block
+    assert set(met.columns) == {f"l_{c}" for c in m.with_block(fresh).columns} | {f"r_{c}" for c in known.columns}
+
+
 def test_thinned_links_connect_the_same(spark):
     from tessera.operators.components import linked_components
 
