@@ -33,12 +33,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, as_bytes, mixed, slices
+from tessera.llm.common import Scratch, mixed, slices
 from tessera.operators.components import connected_components
 
 
@@ -48,41 +49,68 @@ class Plan:
     percent: int = 85
     chunk_sets: int = 2048
     chunk_elements: int = 1 << 21
-    table: int = 200_000  #: entries of a worker's table of word hashes
 
 
-class _Words(dict):
-    """Word → 64-bit hash, emptied when full."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(word) < 64:
-            self[word] = found
-        return found
-
-
-_words: dict[int, _Words] = {}
+_LONG = 64  # bytes of a word from which on it is hashed by itself
+
+
+def _word_hashes(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of words, and their lengths in bytes. Words of at most eight bytes and one length never share one."""
+    _, offsets, data = words.buffers()
+    if not len(words):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    starts, lengths = ends[:-1], np.diff(ends)
+    raw = np.concatenate([np.frombuffer(data or b"", np.uint8)[: ends[-1]], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # from each byte on
+    hashes = mixed(lengths.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    left = np.flatnonzero(lengths <= _LONG)
+    for at in range(0, _LONG, 8):
+        left = left[lengths[left] > at]
+        if not len(left):
+            break
+        over = np.maximum(0, 8 - (lengths[left] - at)).astype(np.uint64) * np.uint64(8)
+        hashes[left] = mixed(hashes[left] ^ (eight[starts[left] + at] << over))
+    for n in np.flatnonzero(lengths > _LONG):
+        hashes[n] = xxhash.xxh3_64_intdigest(raw[starts[n] : ends[n + 1]])
+    return hashes, lengths
+
+
+def shingles(texts: pa.Array, plan: Plan = Plan()) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's runs of words; the texts of a slice at once."""
+    lowered = pc.ascii_lower(pc.fill_null(texts.cast(pa.binary()).view(pa.string()), ""))  # A-Z only
+    lists = pc.ascii_split_whitespace(lowered)  # the six ASCII blanks
+    words, sizes = _word_hashes(lists.flatten())
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    real = sizes > 0
+    if not real.all():  # blanks at an end of a text
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[real], minlength=len(lengths))
+        words = words[real]
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    runs = np.empty(len(words), np.uint64)  # of each word as the first
+    for at in range(0, len(words), 1 << 15):  # what fits a cache
+        runs[at : at + (1 << 15)] = _run(words[at : at + (1 << 15) + plan.words - 1], min(1 << 15, len(words) - at), plan.words)
+    counts = np.where(lengths < plan.words, np.minimum(lengths, 1), lengths - plan.words + 1)
+    for n in np.flatnonzero((lengths > 0) & (lengths < plan.words)):
+        runs[starts[n]] = _run(words[starts[n] : ends[n]], 1, int(lengths[n]))[0]
+    found = []
+    for start, count in zip(starts.tolist(), counts.tolist()):
+        own = runs[start : start + count]
+        own.sort()
+        fresh = np.ones(count, bool)
+        np.not_equal(own[1:], own[:-1], out=fresh[1:])
+        found.append(own[fresh])
+    return found
 
 
-def shingles(text: bytes | None, plan: Plan = Plan()) -> np.ndarray:
-    """The sorted distinct hashes of a text's runs of words."""
-    words = (text or b"").lower().split()  # bytes: A-Z only, and the six ASCII blanks
-    if not words:
-        return np.zeros(0, np.uint64)
-    table = _words.setdefault(plan.table, _Words(plan.table))
-    hashes = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
-    width = min(plan.words, len(words))
-    count = len(words) - width + 1
+def _run(words: np.ndarray, count: int, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` words that begin at the first ``count`` words; of fewer at the end of all."""
     runs = np.full(count, width, np.uint64)
     for n in range(width):
-        runs = mixed(runs * np.uint64(0x9E3779B97F4A7C15) + hashes[n : n + count])
-    return np.unique(runs)
+        own = runs[: max(0, len(words) - n)]
+        own[:] = mixed(own * np.uint64(0x9E3779B97F4A7C15) + words[n : n + len(own)])
+    return runs
 
 
 def set_hash(elements: np.ndarray) -> int:
@@ -101,25 +129,43 @@ def _ranges(percent: int) -> tuple[int, ...]:
 
 def signatures(elements: np.ndarray, plan: Plan = Plan()) -> np.ndarray:
     """Hashes of a set's segments, signed 64 bits; linked sets that differ have one in common."""
-    starts = _ranges(plan.percent)
-    own = int(np.searchsorted(starts, len(elements), "right")) - 1
-    found = []
-    for label in (own, own + 1) if len(elements) else ():
+    return all_signatures([elements], plan)[0]
+
+
+def all_signatures(sets: list[np.ndarray], plan: Plan = Plan()) -> tuple[np.ndarray, np.ndarray]:
+    """``signatures`` of several sets, and which set each is of."""
+    starts = np.array(_ranges(plan.percent))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    elements = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    spread = mixed(elements)
+    found, owners = [], []
+    for further in (0, 1):
+        label = np.searchsorted(starts, sizes, "right") - 1 + further
         most = starts[label + 1] - 1
         differ = 2 * most * (100 - plan.percent) // (100 + plan.percent)
-        if not differ:
-            continue  # linked sets of these sizes are equal
+        differ[sizes == 0] = 0
         segments = differ + 2 + differ // 16
-        segment = ((elements >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
-        firsts = np.flatnonzero(np.diff(segment, prepend=segment[:1] + np.uint64(1)))  # the elements are sorted
-        sums = np.add.reduceat(mixed(elements), firsts)
-        numbers = segment[firsts]
-        if segments - len(numbers) >= segments - differ:
-            empty = np.setdiff1d(np.arange(segments, dtype=np.uint64), numbers)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        segment = ((elements >> np.uint64(32)) * segments.astype(np.uint64)[owner]) >> np.uint64(32)
+        fresh = np.ones(len(elements), bool)  # the elements of a set are sorted
+        fresh[1:] = (segment[1:] != segment[:-1]) | (owner[1:] != owner[:-1])
+        firsts = np.flatnonzero(fresh)
+        if not len(firsts):
+            continue
+        numbers, sums, owner = segment[firsts], np.add.reduceat(spread, firsts), owner[firsts]
+        filled = np.bincount(owner, minlength=len(sets))
+        for n in np.flatnonzero((differ > 0) & (filled <= differ)):
+            empty = np.setdiff1d(np.arange(segments[n], dtype=np.uint64), numbers[owner == n])
             numbers, sums = np.append(numbers, empty), np.append(sums, np.zeros(len(empty), np.uint64))
-        place = numbers * np.uint64(1 << 16) + np.uint64(label)
+            owner = np.append(owner, np.full(len(empty), n))
+        routed = differ[owner] > 0  # else linked sets of these sizes are equal
+        numbers, sums, owner = numbers[routed], sums[routed], owner[routed]
+        place = numbers * np.uint64(1 << 16) + label.astype(np.uint64)[owner]
         found.append(mixed(sums + mixed(place + np.uint64(0x632BE59BD9B4E019))))
-    return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+        owners.append(owner)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(found).view(np.int64), np.concatenate(owners)
 
 
 class Forest:
@@ -229,7 +275,7 @@ def _classes(docs: DataFrame, plan: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text"):
-                sets = [shingles(t, plan) for t in as_bytes(rows.column("text"))]
+                sets = shingles(rows.column("text"), plan)
                 hashes = pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("key"), pa.array([len(s) for s in sets], pa.int64()), hashes], ["key", "n", "cls"]
@@ -245,11 +291,11 @@ def _routes(docs: DataFrame, plan: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text"):
-                sets = {set_hash(s): s for t in as_bytes(rows.column("text")) if len(s := shingles(t, plan))}
-                found = [signatures(s, plan) for s in sets.values()]
-                if found:
-                    owner = np.repeat(np.array(list(sets), np.int64), [len(f) for f in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(owner)], ["sig", "cls"])
+                sets = {set_hash(s): s for s in shingles(rows.column("text"), plan) if len(s)}
+                found, owner = all_signatures(list(sets.values()), plan)
+                if len(found):
+                    owner = np.array(list(sets), np.int64)[owner]
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(owner)], ["sig", "cls"])
 
     return docs.select("text").mapInArrow(run, "sig long, cls long")
 
@@ -266,8 +312,7 @@ def _leaders(docs: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
 def _sets_in(rows: pa.RecordBatch, plan: Plan) -> list[tuple[int, np.ndarray]]:
     """(position, set) of the rows whose text is of the class they stand for."""
     found = []
-    for n, (text, cls) in enumerate(zip(as_bytes(rows.column("text")), rows.column("cls").to_pylist())):
-        elements = shingles(text, plan)
+    for n, (elements, cls) in enumerate(zip(shingles(rows.column("text"), plan), rows.column("cls").to_pylist())):
         if len(elements) and set_hash(elements) == cls:  # rows with one key may differ in text
             found.append((n, elements))
     return found

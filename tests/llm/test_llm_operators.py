@@ -742,6 +742,28 @@ def test_shingle_join_by_brute_force(spark, chunk):
     assert shingle_join.join(df.limit(0)).count() == 0
 
 
+def test_shingles_of_a_slice_at_once():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    words = ["a", "A", "b", "é", "É", "x" * 8, "y" * 8, "z" * 9, "z" * 16, "w" * 64, "w" * 65, "v" * 300, "\x1c", "12345678", "123456781"]
+    texts = [None, "", " ", "\t \n", "A", " a b", "a b c ", "a b c d", "\x0ba\x0cb\rc d e", "a b c d " * 9]
+    texts += [rng.choice(["", " "]) + " ".join(rng.choice(words) for _ in range(rng.randrange(60))) + rng.choice(["", "\n"]) for _ in range(80)]
+
+    def runs(text):
+        own = (text or "").encode().lower().split()
+        return {tuple(own[n : n + 4]) for n in range(max(len(own) - 3, min(1, len(own))))}
+
+    found, plain = shingle_join.shingles(pa.array([*texts, "left out"]).slice(0, len(texts))), [runs(t) for t in texts]
+    assert [len(s) for s in found] == [len(s) for s in plain] and all((np.diff(s.astype(object)) > 0).all() for s in found)
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        assert len(np.intersect1d(found[a], found[b])) == len(plain[a] & plain[b])
+    hashes, owners = shingle_join.all_signatures([*found, np.arange(40, dtype=np.uint64)])
+    for n, own in enumerate([*found, np.arange(40, dtype=np.uint64)]):
+        assert sorted(hashes[owners == n]) == sorted(shingle_join.signatures(own))
+    assert [len(x) for x in shingle_join.all_signatures([])] == [0, 0] and shingle_join.shingles(pa.array([], pa.string())) == []
+
+
 def test_linked_sets_share_a_segment():
     rng = np.random.default_rng(4)
     for n in (7, 8, 13, 20, 57, 130, 400, 2500):
