@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators.components import Scratch, shared_dir  # noqa: F401
@@ -60,3 +61,28 @@ def mixed(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return values ^ (values >> np.uint64(31))
+
+
+_LONG = 64  # bytes of a word from which on it is hashed by itself
+
+
+def word_hashes(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of words, and their lengths in bytes. Words of at most eight bytes and one length never share one."""
+    _, offsets, data = words.buffers()
+    if not len(words):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    starts, lengths = ends[:-1], np.diff(ends)
+    raw = np.concatenate([np.frombuffer(data or b"", np.uint8)[: ends[-1]], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # from each byte on
+    hashes = mixed(lengths.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    left = np.flatnonzero(lengths <= _LONG)
+    for at in range(0, _LONG, 8):
+        left = left[lengths[left] > at]
+        if not len(left):
+            break
+        over = np.maximum(0, 8 - (lengths[left] - at)).astype(np.uint64) * np.uint64(8)
+        hashes[left] = mixed(hashes[left] ^ (eight[starts[left] + at] << over))
+    for n in np.flatnonzero(lengths > _LONG):
+        hashes[n] = xxhash.xxh3_64_intdigest(raw[starts[n] : ends[n + 1]])
+    return hashes, lengths

@@ -39,14 +39,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, give_back, mixed, slices
+from tessera.llm.common import Scratch, give_back, mixed, slices, word_hashes
 
 END = 0  # its number
 _TAIL = 1 << 63  # numbers from here on are hashes
@@ -185,6 +184,10 @@ class Level:
         rate = np.maximum(self.rng.gamma(self.strength / self.discount + self.total)[self._homes] * parent[many], 1e-300)
         shares = self.small(self.discount)
         for high, here in self._tiers:
+            if high == 2:  # one table or two
+                odds = rate[here] * np.exp(shares[2, 1] - shares[2, 0])
+                self.tables[many[here]] = 1 + (self.rng.random(len(here)) * (1 + odds) >= 1)
+                continue
             step = (1 << 18) // high
             for at in range(0, len(here), step):
                 some = here[at : at + step]
@@ -239,6 +242,42 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
 # --- words and slices -------------------------------------------------------------------------------------------------
 
 
+class Numbers:
+    """The numbers of words, from 1, in a table by their hashes with open addressing."""
+
+    def __init__(self, head: list[bytes]):
+        own, _ = word_hashes(pa.array(head, pa.binary()).view(pa.string()))
+        self.bits = max(8, 2 + len(head).bit_length())
+        self.slots, self.number = np.zeros((1 << self.bits) + 1, np.uint64), np.zeros((1 << self.bits) + 1, np.uint64)
+        own = own | np.uint64(_TAIL)
+        left, at = np.arange(len(own)), self._first(own)
+        while len(left):
+            _, one = np.unique(at, return_index=True)  # of several for a slot, the first
+            put = one[self.slots[at[one]] == 0]
+            self.slots[at[put]], self.number[at[put]] = own[left[put]], left[put].astype(np.uint64) + np.uint64(1)
+            again = self.slots[at] != own[left]
+            left, at = left[again], (at[again] + 1) & ((1 << self.bits) - 1)
+
+    def _first(self, codes: np.ndarray) -> np.ndarray:
+        return (mixed(codes) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """The number or hash of words with these hashes."""
+        codes = hashes | np.uint64(_TAIL)
+        at = self._first(codes)
+        held = self.slots[at]
+        same = held == codes
+        out = np.where(same, self.number[at], codes)
+        left = np.flatnonzero(~same & (held != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            held = self.slots[at[left]]
+            same = held == codes[left]
+            out[left[same]] = self.number[at[left[same]]]
+            left = left[~same & (held != 0)]
+        return out
+
+
 @dataclass(frozen=True)
 class Layout:
     head: list[bytes]  #: words numbered from 1
@@ -249,8 +288,8 @@ class Layout:
     rest: float  #: of any other word
 
     @property
-    def numbers(self) -> dict[bytes, int]:
-        return {word: n + 1 for n, word in enumerate(self.head)}
+    def numbers(self) -> Numbers:
+        return Numbers(self.head)
 
     def guessed(self, words: np.ndarray) -> np.ndarray:
         return np.where(words < _TAIL, self.guess[_number(words)], self.rest)
@@ -278,25 +317,32 @@ def _number(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < _TAIL, codes, 0).astype(np.int64)
 
 
-def _codes(words: list[bytes], numbers: dict[bytes, int]) -> np.ndarray:
+def _codes(words: list[bytes], numbers: Numbers) -> np.ndarray:
     """The number or hash of each word."""
-    number, hashed = numbers.get, xxhash.xxh3_64_intdigest
-    return np.fromiter((number(word) or hashed(word) | _TAIL for word in words), np.uint64, len(words))
+    return numbers.codes(word_hashes(pa.array(words, pa.binary()).view(pa.string()))[0])
 
 
-def _sequence(texts: pa.Array, numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all tokens, an end after each text, and the number of tokens of each."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
-    coded = lists.flatten().dictionary_encode()
-    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-    codes = _codes(distinct, numbers)
-    which = coded.indices.to_numpy(zero_copy_only=False)
+def _words(texts: pa.Array) -> pa.Array:
+    """Lists of words in lower case, empty ones where blanks begin or end a text."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+
+
+def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the number of words of each text."""
+    lists = _words(texts)
+    hashes, sizes = word_hashes(lists.flatten())
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    if b"" in distinct:  # blanks at an end of a text
-        real = which != distinct.index(b"")
-        owner = np.repeat(np.arange(len(lengths)), lengths)[real]
-        which, lengths = which[real], np.bincount(owner, minlength=len(lengths))
-    return np.insert(codes[which], np.cumsum(lengths), np.uint64(END)), lengths + 1
+    real = sizes > 0
+    if not real.all():  # blanks at an end of a text
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[real], minlength=len(lengths))
+        hashes = hashes[real]
+    return hashes, lengths
+
+
+def _sequence(texts: pa.Array, numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all tokens, an end after each text, and the number of tokens of each."""
+    hashes, lengths = _hashes(texts)
+    return np.insert(numbers.codes(hashes), np.cumsum(lengths), np.uint64(END)), lengths + 1
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -699,9 +745,9 @@ def layout_of(docs: DataFrame, plan: Plan, scratch: Scratch) -> Layout:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text", plan.slice_bytes):
-                texts = pc.ascii_lower(pc.fill_null(rows.column("text").cast(pa.string()), ""))
-                found = pc.value_counts(pc.ascii_split_whitespace(texts).flatten())
-                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
+                words = _words(rows.column("text")).flatten()
+                _, first, n = np.unique(word_hashes(words)[0], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(first)), pa.array(n)], ["word", "n"])
         give_back()
 
     counted = docs.filter(train).select("text").mapInArrow(run, "word string, n long").filter("word <> ''")

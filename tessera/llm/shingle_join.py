@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, mixed, slices
+from tessera.llm.common import Scratch, mixed, slices, word_hashes
 from tessera.operators.components import connected_components
 
 
@@ -51,36 +51,11 @@ class Plan:
     chunk_elements: int = 1 << 21
 
 
-_LONG = 64  # bytes of a word from which on it is hashed by itself
-
-
-def _word_hashes(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of words, and their lengths in bytes. Words of at most eight bytes and one length never share one."""
-    _, offsets, data = words.buffers()
-    if not len(words):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-    starts, lengths = ends[:-1], np.diff(ends)
-    raw = np.concatenate([np.frombuffer(data or b"", np.uint8)[: ends[-1]], np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # from each byte on
-    hashes = mixed(lengths.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-    left = np.flatnonzero(lengths <= _LONG)
-    for at in range(0, _LONG, 8):
-        left = left[lengths[left] > at]
-        if not len(left):
-            break
-        over = np.maximum(0, 8 - (lengths[left] - at)).astype(np.uint64) * np.uint64(8)
-        hashes[left] = mixed(hashes[left] ^ (eight[starts[left] + at] << over))
-    for n in np.flatnonzero(lengths > _LONG):
-        hashes[n] = xxhash.xxh3_64_intdigest(raw[starts[n] : ends[n + 1]])
-    return hashes, lengths
-
-
 def shingles(texts: pa.Array, plan: Plan = Plan()) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's runs of words; the texts of a slice at once."""
     lowered = pc.ascii_lower(pc.fill_null(texts.cast(pa.binary()).view(pa.string()), ""))  # A-Z only
     lists = pc.ascii_split_whitespace(lowered)  # the six ASCII blanks
-    words, sizes = _word_hashes(lists.flatten())
+    words, sizes = word_hashes(lists.flatten())
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     real = sizes > 0
     if not real.all():  # blanks at an end of a text

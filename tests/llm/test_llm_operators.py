@@ -742,6 +742,22 @@ def test_shingle_join_by_brute_force(spark, chunk):
     assert shingle_join.join(df.limit(0)).count() == 0
 
 
+def test_codes_of_a_slice_at_once():
+    import pyarrow as pa
+
+    words = [f"w{n}".encode() for n in range(5000)] + [b"x" * n for n in (1, 7, 8, 9, 16, 63, 64, 65, 300)] + ["é".encode()]
+    for n in (0, 1, 300, 5000):
+        numbers = pitman_yor.Numbers(words[:n])
+        codes = pitman_yor._codes(words, numbers)
+        assert codes[:n].tolist() == [*range(1, n + 1)] and len(set(codes.tolist())) == len(words) and (codes[n:] >= 1 << 63).all()
+        texts = pa.array(["left out", None, "", " W1  w4999\t", "é É " + "X" * 65, "\n"]).slice(1)
+        found, lengths = pitman_yor._sequence(texts, numbers)
+        of = dict(zip(words, codes.tolist()))
+        at = pitman_yor._codes(["É".encode()], numbers).tolist()
+        assert lengths.tolist() == [1, 1, 3, 4, 1]
+        assert found.tolist() == [0, 0, of[b"w1"], of[b"w4999"], 0, of["é".encode()], *at, of[b"x" * 65], 0, 0]
+
+
 def test_shingles_of_a_slice_at_once():
     import pyarrow as pa
 
