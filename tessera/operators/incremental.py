@@ -47,9 +47,18 @@ def clusters(records: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def links_of(blocked: DataFrame, matcher: Matcher) -> DataFrame:
-    """src, dst: matching records of one block; blocked: a written table with block keys."""
-    matched = matcher.matches(matcher.linkable(blocked))
-    return matched.select(F.col("l_record_id").alias("src"), F.col("r_record_id").alias("dst"))
+    """src, dst: links that connect just what matching records of one block do; blocked: a written table with block keys.
+
+    Each record meets the least one of its block, type and number first; then all pairs that this left apart are compared,
+    so a block of alike records costs its rows, not its square.
+    """
+    scratch = Scratch(blocked.sparkSession, "pairs")
+    link = [F.col("l_record_id").alias("src"), F.col("r_record_id").alias("dst")]
+    led = scratch.table(matcher.matches(matcher.led(blocked)).select(*link), "led")
+    parts = led.select(F.col("dst").alias("record_id"), F.col("src").alias("_part")).distinct()
+    apart = blocked.join(parts, "record_id", "left").withColumn("_part", F.coalesce("_part", "record_id"))
+    rest = matcher.matches(matcher.linkable(scratch.table(apart, "apart"), apart="_part"))
+    return led.unionByName(rest.select(*link))
 
 
 def resolve(
@@ -74,9 +83,7 @@ def process(
     fresh = unseen(batch, state.records)
     blocked = scratch.table(matcher.with_block(fresh), "fresh")
     fresh = blocked.select(*fresh.columns)
-    met = matcher.matches(matcher.candidates(blocked, state.golden.withColumn("source_type", F.element_at("source_types", 1))))
-    best = F.min_by("r_cluster_id", F.struct(-F.col("score"), F.col("r_golden_id")))
-    onto = met.groupBy(F.col("l_record_id").alias("src")).agg(best.alias("dst"))
+    onto = matcher.best(blocked, state.golden.withColumn("source_type", F.element_at("source_types", 1)))
     links = onto.unionByName(links_of(blocked, matcher))
     parts = linked_components(links)
     known = state.records.withColumn("_new", F.lit(False))

@@ -316,3 +316,37 @@ def test_thinned_links_connect_the_same(spark):
     for few in (0, 1000):
         found = linked_components(df, few).collect()
         assert {r.node: r.component for r in found} == expected and len(found) == 40
+
+
+def test_alike_records_are_linked_without_their_square(spark):
+    """i1_incremental_changes, i7_state_risk: links connect what all matches of a block do, and are few where records are alike."""
+    rows = [record(n, full_name=["Ann Lee", "Lee, Ann", "Xavier Lopez"][n % 9 // 4], address=[None, "1 High St, Leeds"][n % 2]) for n in range(1, 41)]
+    rows += [record(100 + n, entity_type="company", full_name=f"Acme {n % 3}", dob=None, company_number=[None, "12345678", " 12345678", "12399999"][n % 4], address=["1 NUM, Leeds", None][n % 5 // 4],
+                    source_type=["csv_internal", "x"][n % 3 % 2]) for n in range(16)]
+    m = Matcher(part_rows=7)
+    blocked = m.with_block(records(spark, *rows))
+    every = m.matches(m.linkable(blocked)).select(F.col("l_record_id").alias("src"), F.col("r_record_id").alias("dst"))
+    links = incremental.links_of(blocked, m)
+    parts = lambda df: {r.node: r.component for r in connected_components(df).collect()}
+    assert parts(links) == parts(every) and len(set(parts(every).values())) > 3
+    assert {tuple(r) for r in links.collect()} <= {tuple(r) for r in every.collect()}
+    assert every.count() > 300 and links.count() < 100
+
+
+def test_best_golden_record_is_that_of_all_pairs(spark):
+    """i1_incremental_changes, i7_state_risk: orphans that meet golden records in arrays find the one that rows of pairs give, ties included."""
+    names = ["Ann Lee", "Anne Leigh", "Bob Stone", None, "Ann Lea"]
+    known = [record(n, full_name=names[n % 5], dob=[None, f"19{50 + n}-01-01", "1980-01-02"][n % 3], address=[None, f"{n % 3} High St, Leeds"][n % 2], nationality=[None, "A", " a"][n % 4 % 3]) for n in range(1, 31)]
+    known += [record(60 + n, entity_type="company", full_name=f"Acme {n % 2}", dob=None, company_number=[None, "12345678", " 12345678"][n % 3], address=["1 NUM, Leeds", None][n % 5 // 4],
+                     source_type=["csv_internal", None, "x"][n % 3 % 2 + n % 2]) for n in range(12)]
+    fresh = [dict(r, record_id=f"N{r['record_id']}", dob=r["dob"] and f"{r['dob'][:4]}-01-02", country=r["country"] if n % 2 else f"{r['country']}x", address=r["address"] and f"{n % 2} {r['address'][2:]}",
+                  company_number=[r["company_number"], "1234567"][n % 4 == 3] if r["entity_type"] == "company" else None) for n, r in enumerate(known)]
+    plain = Matcher(text_pairs=0)
+    golden_ = plain.with_block(records(spark, *known)).withColumn("golden_id", F.concat(F.lit("G"), "record_id")).withColumn("cluster_id", F.col("record_id"))
+    blocked = plain.with_block(records(spark, *fresh))
+    met = plain.scored(plain.candidates(blocked, golden_)).filter("is_match")
+    expected = {r.l_record_id: r.best for r in met.groupBy("l_record_id").agg(F.min_by("r_cluster_id", F.struct(-F.col("score"), F.col("r_golden_id"))).alias("best")).collect()}
+    orphans = {r.l_record_id for r in plain._orphans(*plain._met(blocked, golden_)).collect()}
+    assert len(expected.keys() & orphans) > 5 and len(expected.keys() - orphans) > 1
+    for m in (Matcher(cell_pairs=16, chunk_rows=(2, 3)), Matcher(), plain):
+        assert {r.src: r.dst for r in m.best(blocked, golden_).collect()} == expected
