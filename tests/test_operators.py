@@ -350,3 +350,19 @@ def test_best_golden_record_is_that_of_all_pairs(spark):
     assert len(expected.keys() & orphans) > 5 and len(expected.keys() - orphans) > 1
     for m in (Matcher(cell_pairs=16, chunk_rows=(2, 3)), Matcher(), plain):
         assert {r.src: r.dst for r in m.best(blocked, golden_).collect()} == expected
+
+
+def test_state_risk_by_arrays_is_that_of_rows(spark):
+    """i7_state_risk: edges and risk after a batch whose orphans meet golden records in arrays."""
+    person = lambda n, year: record(n, full_name=["Ann Lee", "Bob Stone", "Lee, Ann"][n % 3], dob=f"{year + n % 4}-03-04", is_pep=n % 5 == 2, director_of_entity_ids=f"E{50 + n % 3}", address=f"{n % 2} Rd, Leeds")
+    firms = [record(50 + n, entity_type="company", full_name=f"Firm {n}", dob=None, company_number=f"1234567{n}", owned_by_entity_id=f"E{1 + 3 * n}", ownership_percentage=60.0,
+                    is_offshore=True, employee_count=1) for n in range(3)]
+    first, second = records(spark, *[person(n, 1960) for n in range(1, 13)], *firms), records(spark, *[person(n, 1980) for n in range(10, 25)])
+    seen = []
+    for m in (Matcher(cell_pairs=16, chunk_rows=(2, 3)), Matcher(text_pairs=0)):
+        after = incremental.process(incremental.resolve(first, m, graph=False), second, m)
+        risks = sorted((r.golden_id, r.source_count, r.director_count, r.owned_count, r.risk_score, r.risk_level) for r in after.risk.collect())
+        seen.append((risks, sorted((r.src, r.dst, r.rel) for r in after.edges.collect()), sorted((r.record_id, r.cluster_id) for r in after.records.collect())))
+    assert seen[0] == seen[1] and len(seen[0][1]) > 3 and max(r[4] for r in seen[0][0]) >= 30
+    joined = {r: c for r, c in seen[0][2] if c != r}
+    assert any(int(r[1:]) > 12 and int(c[1:]) < 13 for r, c in joined.items())  # an orphan found its golden record
