@@ -366,3 +366,19 @@ def test_state_risk_by_arrays_is_that_of_rows(spark):
     assert seen[0] == seen[1] and len(seen[0][1]) > 3 and max(r[4] for r in seen[0][0]) >= 30
     joined = {r: c for r, c in seen[0][2] if c != r}
     assert any(int(r[1:]) > 12 and int(c[1:]) < 13 for r, c in joined.items())  # an orphan found its golden record
+
+
+def test_candidate_keys_are_those_of_candidates(spark):
+    """j3_candidates: pairs that arrays unfold to are those of rows, each once, for orphans, large and small blocks."""
+    firm = lambda n, **more: record(n, **(dict(entity_type="company", dob=None, full_name=f"Acme {n % 3}", company_number=[None, "12345678", " 12345678", "1234567"][n % 4],
+                                               address=["1 NUM, Leeds", None][n % 5 // 4], source_type=["csv_internal", None, "x"][n % 3]) | more))
+    known = [record(n, full_name=["Ann Lee", None, "Bob Stone"][n % 3], dob=f"19{50 + n % 9}-01-01") for n in range(1, 31)] + [firm(100 + n) for n in range(9)]
+    fresh = [record(n, full_name=["Ann Lee", None][n % 4 // 3], dob=f"19{50 + n % 12}-01-01") for n in range(40, 70)] + [firm(200 + n, **({"company_number": "1 2345"} if n > 8 else {})) for n in range(14)]
+    fresh += [record(90, dob="1951-01-01", entity_type=None)]
+    for sizes in ({}, {"cell_pairs": 4, "unfolded_rows": (3, 2)}):
+        m = Matcher(**sizes)
+        golden_ = m.with_block(records(spark, *known)).withColumn("golden_id", F.concat(F.lit("G"), "record_id"))
+        expected = sorted((r.l_record_id, r.r_golden_id) for r in m.candidates(records(spark, *fresh), golden_).collect())
+        assert sorted(map(tuple, m.candidate_keys(records(spark, *fresh), golden_).collect())) == expected and len(expected) > 200
+    plan = m.candidate_keys(records(spark, *fresh), golden_)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 2 and "CartesianProduct" in plan
